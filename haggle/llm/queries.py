@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, license_scan, lm_score, token_count
+from . import bpe, chat, license_scan, lm_score, near_dup, token_count
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.unionByName(extra))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_bpe, op7_lm_score, op8_license_scan, op10_token_count)
+    f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op7_lm_score, op8_license_scan, op10_token_count)
 }
 
 ORACLE_SQL: dict[str, str] = {
