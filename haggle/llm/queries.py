@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, license_scan, lm_score, near_dup, token_count
+from . import bpe, chat, embed_dup, license_scan, lm_score, near_dup, token_count, top_k
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -33,12 +37,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op7_lm_score, op8_license_scan, op10_token_count)
+    f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op5_embed_dup, op7_lm_score, op8_license_scan, op9_top_k, op10_token_count)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,4 +68,31 @@ ORACLE_SQL: dict[str, str] = {
                sum(length(shown) + CASE WHEN joins THEN 10 ELSE 12 + length(shown_role) + 1 + 11 END)::BIGINT AS formatted_chars
         FROM m GROUP BY conv_id
     """,
+    "op5_embed_dup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(node, seen) AS (
+          SELECT vec_id, vec_id FROM embeddings
+          UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+        c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+    """,
+    "op9_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        WHERE rank <= 20
+    """,
 }
