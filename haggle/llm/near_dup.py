@@ -9,9 +9,9 @@ has passed the latest slot of its text.
 
 Slots are banded.  Exact copies (equal word sequences) are one node from the start.  In a band's
 bucket each node is checked against the smallest node; buckets that still hold several components
-are then worked through in blocks, where pairs of different components whose signatures are near
-are checked too, so a large bucket never becomes a list of all its pairs.  Every link is verified
-on the exact multisets.
+are then worked through in blocks inside a task, where pairs of different components whose
+signatures are near are checked until they are joined, so a large bucket never becomes a list of
+all its pairs.  Every link is verified on the exact multisets.
 """
 
 from __future__ import annotations
@@ -124,15 +124,19 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, make, f"id {kind}, node binary, empty boolean, bands array<bigint>, slots binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by ``threshold`` or more."""
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text``: one text for each wanted node."""
 
     def name():
         return lambda batch: {"node": [node_of(v.as_py()) for v in batch.column(0)], "text": batch.column(0)}
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = map_arrow(docs.select(F.coalesce("text", F.lit("")).alias("text")), name, "node binary, text string")
-    full = cut(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    return named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap by ``threshold`` or more."""
+    full = cut(texts_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     left, right = (full.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     joined = pairs.join(right, "b").join(left, "a")
 
@@ -155,8 +159,31 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) ->
     return map_arrow(joined.select("a", "b", "text_a", "text_b"), check, "a binary, b binary")
 
 
-def residual(members: DataFrame, sketched: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures are near, block against block."""
+def near_slots(g: pa.Table, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components, of different blocks where there are two, with near signatures."""
+    sig = np.stack([np.frombuffer(x, np.uint16) for x in g.column("slots").to_pylist()])
+    root = np.unique(np.array([r.hex() for r in g.column("root").to_pylist()]), return_inverse=True)[1]
+    block = np.asarray(g.column("mine"))
+    cross = block.min() != block.max()
+    a, b, how = [], [], []
+    for i in range(len(sig)):
+        if cross and block[i] != block.min():
+            continue
+        share = (sig == sig[i]).mean(axis=1)
+        fits = np.flatnonzero((share >= near) & (root != root[i]) & ((block != block[i]) if cross else (np.arange(len(sig)) > i)))
+        a.append(np.full(len(fits), i))
+        b.append(fits)
+        how.append(share[fits])
+    return tuple(np.concatenate(x) if x else np.empty(0, int) for x in (a, b, how))
+
+
+def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roots: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links between different components that share a bucket: enough of them to join what belongs together.
+
+    Buckets are compared block against block.  A first pass on signatures finds the nodes that have
+    a near one of another component; only these bring their texts, and their pairs are verified
+    from the nearest on, skipping those that earlier links have joined.
+    """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_buckets = (
         rooted.groupBy("bucket")
@@ -171,37 +198,55 @@ def residual(members: DataFrame, sketched: DataFrame, roots: DataFrame, threshol
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            F.hash("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("deal"),
             F.concat_ws("/", F.col("bucket").cast("string"), F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
             "node", "root", "slots", "mine",
         )
     )
     # Five standard deviations of the estimate below the threshold.
     near = threshold - 5 * (threshold * (1 - threshold) / SLOTS) ** 0.5
+    dealt = lambda df: df.repartition("key").sortWithinPartitions("key")
+
+    def pick(batches):
+        for g in groups(batches, "key"):
+            a, b, _ = near_slots(g, near)
+            if len(a):
+                yield from g.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
+
+    picked = cut(dealt(rows).mapInArrow(pick, rows.schema))
+    full = cut(texts_of(docs, picked.select("node").distinct()))
 
-    def run(batches):
+    def link(batches):
         for g in groups(batches, "key"):
-            nodes, roots_, mine = (g.column(c).to_pylist() for c in ("node", "root", "mine"))
-            sig = np.stack([np.frombuffer(x, np.uint16) for x in g.column("slots").to_pylist()])
-            ids = {r: i for i, r in enumerate(dict.fromkeys(roots_))}
-            root = np.array([ids[r] for r in roots_])
-            block = np.array(mine)
-            cross = len(set(mine)) > 1
-            a, b = [], []
-            for i in range(len(nodes)):
-                if cross and block[i] != block.min():
-                    continue
-                fits = (sig == sig[i]).mean(axis=1) >= near
-                fits &= (root != root[i]) & ((block != block[i]) if cross else (np.arange(len(nodes)) > i))
-                for k in np.flatnonzero(fits):
-                    x, y = sorted((nodes[i], nodes[k]))
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    dealt = rows.repartition("deal").sortWithinPartitions("key").select("key", "node", "root", "slots", "mine")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+            a, b, how = near_slots(g, near)
+            nodes, texts = g.column("node").to_pylist(), g.column("text").to_pylist()
+            above = {r: r for r in g.column("root").to_pylist()}
+            root = g.column("root").to_pylist()
+
+            def find(x):
+                while above[x] != x:
+                    above[x] = above[above[x]]
+                    x = above[x]
+                return x
+
+            bags: dict[int, tuple] = {}
+
+            def bag(i):
+                if i not in bags:
+                    bags[i] = multisets([texts[i]], width)[1:]
+                return bags[i]
+
+            out = []
+            for p in np.argsort(-how, kind="stable"):
+                i, k = int(a[p]), int(b[p])
+                x, y = find(root[i]), find(root[k])
+                if x != y and overlap(bag(i), bag(k)) >= threshold - 1e-12:
+                    above[x] = y
+                    out.append((nodes[i], nodes[k]))
+            if out:
+                x, y = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
+
+    return dealt(picked.join(full, "node")).mapInArrow(link, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id") -> DataFrame:
@@ -228,9 +273,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_
     pairs = cut(members.where("a <> node").select("a", F.col("node").alias("b")).distinct())
     links = cut(verified(named, pairs, threshold, width))
     roots = cut(components(links))
-    more = cut(residual(members, filled, roots, threshold).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(residual_links(named, members, filled, roots, threshold, width))
     if not more.isEmpty():
-        roots = cut(components(links.union(verified(named, more, threshold, width))))
+        roots = cut(components(links.union(more)))
     # Rows without shingles get a class each; a copy's class is found through its node.
     placed = sketched.select("id", "node", "empty").withColumn("row", F.monotonically_increasing_id())
     placed = placed.join(roots, "node", "left").withColumn(
