@@ -18,6 +18,8 @@ import json
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -252,3 +254,34 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         make,
         f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
+
+
+def bpe_corpus(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs`` without its text, with ``n_tokens``, ``ids``, and ``exact``: whether decoding the ids gives the text.
+
+    Nulls, empty texts and repeated rows as in :func:`bpe_encode`; columns of those names are replaced.
+    """
+    path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "exact")]
+
+    def run(batches):
+        bpe = codec(path)
+        back = bpe.text_of.__getitem__
+        for batch in batches:
+            texts = batch.column(len(others)).to_pylist()
+            ids, exact = [], []
+            for text in texts:
+                joined = ",".join(bpe.id_strings(text or ""))
+                ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                exact.append(b"".join(map(back, joined.split(","))).decode("utf-8", "replace") == text if joined else not text)
+            n = [len(x) for x in ids]
+            ends = np.cumsum([0, *n]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(others)], pa.array(n, pa.int64()), listed, pa.array(exact)], [*others, "n_tokens", "ids", "exact"]
+            )
+
+    chosen = docs.select(*(docs[c] for c in others), docs["text"])
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    return chosen.mapInArrow(run, f"{kinds}, n_tokens bigint, ids array<int>, exact boolean")

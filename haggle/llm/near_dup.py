@@ -249,16 +249,8 @@ def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roo
     return dealt(picked.join(full, "node")).mapInArrow(link, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """Rows ``id_col, class_id, kept`` for every row of ``docs``.
-
-    ``class_id`` is the smallest id of the row's connected component of links of ``threshold`` or
-    more; ``kept`` marks one row of each class, the one of the smallest id (of equal ids, or
-    without any id, one of them).  Rows of equal word sequences are copies of each other; texts of
-    under ``width`` words compare as one shingle; null and empty texts and texts of white space
-    only have no shingles and each stands alone.  Null ids come after all others; an empty table
-    gives an empty table; other columns are ignored.
-    """
+def classes(docs: DataFrame, threshold: float, width: int, id_col: str) -> DataFrame:
+    """``id, node, empty, class_id, kept`` for every row."""
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("id"), "text")
     sketched = cut(sketch(named, width))
@@ -285,5 +277,38 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_
     placed = cut(placed)
     heads = placed.groupBy("class").agg(F.min(first).alias("head"))
     return placed.join(heads, "class").select(
-        F.col("id").alias(id_col), F.col("head.id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept")
+        "id", "node", "empty", F.col("head.id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept")
     )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """Rows ``id_col, class_id, kept`` for every row of ``docs``.
+
+    ``class_id`` is the smallest id of the row's connected component of links of ``threshold`` or
+    more; ``kept`` marks one row of each class, the one of the smallest id (of equal ids, or
+    without any id, one of them).  Rows of equal word sequences are copies of each other; texts of
+    under ``width`` words compare as one shingle; null and empty texts and texts of white space
+    only have no shingles and each stands alone.  Null ids come after all others; an empty table
+    gives an empty table; other columns are ignored.
+    """
+    return classes(docs, threshold, width, id_col).select(F.col("id").alias(id_col), "class_id", "kept")
+
+
+def deduplicate(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """One row of each class of :func:`near_duplicates`, with all columns of ``docs``."""
+    kept = classes(docs, threshold, width, id_col).where("kept").select("id", "node", "empty")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), docs[id_col].alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+    def name(batches):
+        for batch in batches:
+            node = pa.array([node_of(v.as_py()) for v in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node], ["d", "id", "node"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    named = packed.mapInArrow(name, f"d {packed.schema['d'].dataType.simpleString()}, id {kind}, node binary")
+    # Rows of one id and one text are told apart by nothing, so the first of them stays.
+    same = Window.partitionBy("node", "id").orderBy("id")
+    found = named.join(kept.where("not empty").select(F.col("node"), F.col("id").alias("kept_id")).distinct(), "node").where(F.col("id").eqNullSafe(F.col("kept_id")))
+    one = found.withColumn("n", F.row_number().over(same)).where("n = 1").select("d")
+    without = docs.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")) == "")
+    return one.select(*(F.col("d").getField(c).alias(c) for c in docs.columns)).union(without)

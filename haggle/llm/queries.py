@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed_dup, license_scan, lm_score, near_dup, token_count, top_k
+from . import bpe, chat, embed_dup, license_scan, lm_score, mixing, near_dup, quality, token_count, top_k
 from .common import table
 
 
+#: Target weights of the sources; a source that is not named has weight 1.
+SOURCE_WEIGHTS = {f"src{i}": 1 + i % 5 for i in range(20)}
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -25,10 +29,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -46,7 +58,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op5_embed_dup, op7_lm_score, op8_license_scan, op9_top_k, op10_token_count)
+    f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op4_quality, op5_embed_dup, op6_mixing, op7_lm_score, op8_license_scan, op9_top_k, op10_token_count)
 }
 
 ORACLE_SQL: dict[str, str] = {
