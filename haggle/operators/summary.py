@@ -107,10 +107,12 @@ def crawl_status(products: Column, render_errors: Column, errors: Column) -> Col
 def selector_ranking(found: DataFrame, top: int = 8) -> DataFrame:
     """Field selectors by the cards they match, then matches, then first seen.
 
-    ``found``: page_id, field, selector, card, ord, value."""
+    ``found``: page_id, field, selector, card, ord, value; a null value only marks a matched card."""
     grouped = found.groupBy("page_id", "field", "selector").agg(
-        F.count("*").alias("match_count"), F.count_distinct("card").alias("matching_cards"), F.min("ord").alias("ord"),
-        F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"])), 1, 3).alias("sample_values"),
+        F.count("value").alias("match_count"), F.count_distinct("card").alias("matching_cards"), F.min("ord").alias("ord"),
+        F.slice(
+            F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("ord", "value")))), lambda x: x["value"])), 1, 3
+        ).alias("sample_values"),
     )
     rank = F.row_number().over(Window.partitionBy("page_id", "field").orderBy(F.desc("matching_cards"), F.desc("match_count"), "ord"))
     return grouped.withColumn("rank", rank).where(F.col("rank") <= top).drop("ord")

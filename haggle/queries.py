@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from haggle.extract import frames
 from haggle.functions import price as P
 from haggle.functions import text as T
 from haggle.functions import urls as U
@@ -507,3 +508,75 @@ def import_new_only(spark, sf):
     stored, batch = rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1")
     return new_rows(batch, stored, "link", [*KEYS]).select(*KEYS, "link")
 
+
+
+# -- pages ---------------------------------------------------------------------------------------------------
+
+
+def _pages(spark, sf):
+    # Few large rows: spread before the parse.
+    return views.read(spark, sf, "pages")
+
+
+@query(
+    """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)
+    SELECT page_id, generate_subscripts(h, 1)::INT - 1 AS ord, replace(unnest(h), '&amp;', '&') AS href FROM l"""
+)
+def page_links(spark, sf):
+    return frames.page_links(_pages(spark, sf)).select("page_id", "ord", "href")
+
+
+@query(
+    """WITH s AS (SELECT page_id, regexp_extract_all(html, '<script[^>]*>((?s:.*?))</script>', 1) AS c FROM pages)
+    SELECT page_id, generate_subscripts(c, 1)::INT - 1 AS ord, unnest(c) AS content FROM s"""
+)
+def page_scripts(spark, sf):
+    return frames.page_scripts(_pages(spark, sf)).select("page_id", "ord", "content")
+
+
+@query(
+    """SELECT page_id, length(html)::BIGINT AS html_length, 0::BIGINT AS json_ld_script_count, 0::BIGINT AS embedded_json_candidate_count,
+      len(regexp_extract_all(html, '<a href='))::BIGINT AS total_link_count, 0::BIGINT AS product_like_link_count, 0::BIGINT AS dom_candidate_count,
+      len(regexp_extract_all(html, '<script'))::BIGINT AS script_count FROM pages"""
+)
+def page_stats(spark, sf):
+    none = F.lit(None).cast("string")
+    pages = _pages(spark, sf).select("page_id", "html", none.alias("source"), none.alias("query"), F.lit(20).alias("limit"), F.array().cast("array<string>").alias("product_url_hints"))
+    return frames.parse_pages(pages).select("page_id", "stats.*")
+
+
+H1_SQL = "replace(replace(replace(replace(replace(trim(regexp_extract(html, '<h1>((?s:.*?))</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, nullif({H1_SQL}, '') AS product_name, NULL::DOUBLE AS price, NULL::VARCHAR AS seller, NULL::DOUBLE AS shipping_fee FROM pages")
+def page_meta(spark, sf):
+    return frames.page_metas(_pages(spark, sf)).select("page_id", "product_name", "price", "seller", "shipping_fee")
+
+
+@query(
+    f"""SELECT page_id, nullif({H1_SQL}, '') AS product_name, try_cast(regexp_replace(regexp_extract(html, '<script[^>]*>((?s:.*?))</script>', 1), '[^0-9.]', '', 'g') AS DOUBLE) AS price,
+      'shop' AS seller, regexp_extract(url, '^([^/]+//[^/?#]*)', 1) || replace(regexp_extract(html, '<a href="([^"]*)"', 1), '&amp;', '&') AS product_url
+    FROM pages WHERE product_name IS NOT NULL AND price IS NOT NULL"""
+)
+def css_list_parse(spark, sf):
+    maps = {"product_card": "html", "product_name": "article > h1", "price": "head script", "product_url": "nav li a[href^='/']"}
+    selectors = F.create_map(*(F.lit(x) for kv in maps.items() for x in kv))
+    pages = _pages(spark, sf).select("page_id", "url", "html", selectors.alias("selectors"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit("shop").alias("default_seller"))
+    rows = frames.list_products(pages).select("page_id", F.explode("products").alias("p"))
+    return rows.select("page_id", "p.product_name", "p.price", "p.seller", "p.product_url")
+
+
+@query(
+    """SELECT event_id, 0::INT AS ord, props AS node FROM events
+    UNION ALL SELECT event_id, 1, json_extract(props, '$.k')::VARCHAR FROM events"""
+)
+def json_walk(spark, sf):
+    rows = views.read(spark, sf, "events").select("event_id", F.col("props").alias("json"))
+    return frames.json_nodes(rows, "json").select("event_id", "ord", "node")
+
+
+@query()
+def selector_discovery(spark, sf):
+    found = frames.discovered(_pages(spark, sf)).select("page_id", F.posexplode("hits").alias("ord", "h")).select("page_id", "ord", "h.*")
+    return summary.selector_ranking(found)
+
