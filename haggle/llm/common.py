@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows per Arrow batch: long texts make the default of 10,000 rows too large for a worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
+    """Rows and bytes per Arrow batch: long texts make the default of 10,000 rows too large for a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
