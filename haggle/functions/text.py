@@ -57,8 +57,10 @@ def casefold(value: pd.Series) -> pd.Series:
 
 
 def fold_text(value: Column) -> Column:
-    """Collapsed, trimmed and case-folded."""
-    return casefold(F.trim(F.regexp_replace(value, WS + "+", " ")))
+    """Collapsed, trimmed and case-folded; only texts beyond ASCII go to the UDF."""
+    text = F.trim(F.regexp_replace(value, WS + "+", " "))
+    plain = text.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(plain, F.lower(text)).otherwise(casefold(F.when(~plain, text)))
 
 
 def contains_any(value: Column, marks) -> Column:

@@ -41,10 +41,11 @@ def with_identity(candidates: DataFrame, absolute: bool = False) -> DataFrame:
     return named.withColumn("identity", identity(F.col("url"), F.col("source"), F.col("product_identity_params")))
 
 
-def _best_name(rows: DataFrame, group: Window) -> DataFrame:
+def _best_name(rows: DataFrame, group: Window, only: Column) -> DataFrame:
     """Each fragment's best name with its rank among equals: direct names before inferred ones,
     then by fragment, then by place.  Inferred joined names lose two points once the group has
-    shown a direct name, in this fragment or before it."""
+    shown a direct name, in this fragment or before it.  Rows without ``only`` are not looked at."""
+    none = F.array().cast("array<struct<score:double,kind:int,part:int,place:int,name:string,joined:boolean>>")
     scored = lambda text, kind, at: F.transform(
         F.coalesce(name_parts(squash(text)), F.array().cast("array<struct<name:string,joined:boolean>>")),
         lambda p, i: F.struct(
@@ -55,8 +56,8 @@ def _best_name(rows: DataFrame, group: Window) -> DataFrame:
     usable = lambda parts: F.filter(parts, lambda p: p["score"] > -50)
     rows = (
         rows.withColumn("_terms", query_terms(F.col("query")))
-        .withColumn("_direct", usable(scored(F.col("product_name"), 1, 0)))
-        .withColumn("_inferred", usable(F.concat(scored(F.col("description"), 0, 0), scored(F.col("seller"), 0, 1))))
+        .withColumn("_direct", F.when(only, usable(scored(F.col("product_name"), 1, 0))).otherwise(none))
+        .withColumn("_inferred", F.when(only, usable(F.concat(scored(F.col("description"), 0, 0), scored(F.col("seller"), 0, 1)))).otherwise(none))
         .withColumn("_shown", F.min(F.when(F.size("_direct") > 0, F.col("ord"))).over(group))
     )
     late = F.col("_shown").isNotNull() & (F.col("ord") >= F.col("_shown"))
@@ -77,48 +78,58 @@ def _rewritten(url: Column, params: Column) -> Column:
     return F.coalesce(keyed, url)
 
 
-def aggregate_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+def aggregate_group(rows: DataFrame, keys: list[str], again: bool = False) -> DataFrame:
     """One product of the fragments of each key.
 
     Best name; lowest price; canonical link before others; first image, seller and currency; condition
     by all texts; up to four further texts as description; the highest confidence plus the
-    name's score.  Groups without a usable name go.
+    name's score.  Groups without a usable name go.  With ``again`` the rows are products, and a
+    group of one (column ``_n``) stays as it is.
     """
     # A group comes from one page's capped candidates, so its texts fit in a row.
-    group = Window.partitionBy(*keys)
-    rows = _best_name(rows, group)
+    only = F.col("_n") > 1 if again else F.lit(True)
+    rows = _best_name(rows, Window.partitionBy(*keys), only)
     texts = F.array(*(F.struct(F.col("ord").alias("ord"), F.lit(i).alias("i"), squash(F.col(c)).alias("t")) for i, c in enumerate(("product_name", "description", "seller"))))
     price = F.coalesce(F.col("price"), parse_price(F.col("price_text")))
     image = squash(F.col("image_url"))
     image = F.when(~image.rlike(r"\A(?:data:|javascript:|#)"), image)
     canonical = (F.size("canonical_product_url_hints") > 0) & F.forall("canonical_product_url_hints", lambda h: F.contains(F.col("url"), h))
     first = lambda value, order=F.col("ord"): F.min_by(value, F.when(value.isNotNull(), order))
+    # Alone in its group, the product's first values are its own.
+    single = [F.first(F.struct("product_name", "condition", "description", "confidence", "product_url", "image_url", "fragment_count")).alias("_kept"), F.max("_n").alias("_n")]
     grouped = rows.groupBy(*keys).agg(
         F.min("ord").alias("ord"),
         F.max("_name").alias("_best"),
         F.min(price).alias("price"),
         F.min_by("currency", "ord").alias("currency"),
         first(squash(F.col("seller"))).alias("seller"),
-        F.array_sort(F.flatten(F.collect_list(texts))).alias("_texts"),
+        F.array_sort(F.flatten(F.collect_list(F.when(only, texts)))).alias("_texts"),
         first(F.col("url"), F.struct(~canonical, F.col("ord"))).alias("_url"),
         first(image).alias("image_url"),
         F.max("confidence").alias("_confidence"),
         F.count("*").alias("fragment_count"),
-        *(F.min_by(c, "ord").alias(c) for c in CARRIED),
-    )
+        *(single if again else ()),
+        # Rules of the page are the same on all of its rows: one value instead of many aggregates.
+        F.first(F.struct(*CARRIED)).alias("_page"),
+    ).select("*", "_page.*").drop("_page")
     name = F.substring(F.col("_best.name"), 1, 160)
     said = F.array_distinct(F.filter(F.transform("_texts", lambda t: t["t"]), lambda t: t.isNotNull()))
     others = F.slice(F.array_distinct(F.filter(F.transform(said, clean_name), lambda t: t.isNotNull() & (t != name))), 1, 4)
-    return (
-        grouped.where(F.col("_best").isNotNull())
-        .withColumn("product_name", name)
-        .withColumn("condition", condition_of(F.array_join(said, " "), F.col("default_condition")))
-        .withColumn("description", F.when(F.size(others) > 0, F.substring(F.concat(name, F.lit(" / "), F.array_join(others, " / ")), 1, 500)))
-        .withColumn("confidence", F.col("_confidence") + name_score(name, query_terms(F.col("query"))))
-        .withColumn("product_url", _rewritten(F.col("_url"), F.col("product_identity_params")))
-        .withColumn("price_text", F.lit(None).cast("string"))
-        .drop("_best", "_texts", "_url", "_confidence")
-    )
+    staged = grouped.withColumn("_others", others)
+    made = {
+        "product_name": name,
+        "condition": condition_of(F.array_join(said, " "), F.col("default_condition")),
+        "description": F.when(F.size("_others") > 0, F.substring(F.concat(name, F.lit(" / "), F.array_join("_others", " / ")), 1, 500)),
+        "confidence": F.col("_confidence") + name_score(name, query_terms(F.col("query"))),
+        "product_url": _rewritten(F.col("_url"), F.col("product_identity_params")),
+        "image_url": F.col("image_url"),
+        "fragment_count": F.col("fragment_count"),
+    }
+    named = F.col("_best").isNotNull()
+    if again:
+        made = {c: F.when(F.col("_n") == 1, F.col(f"_kept.{c}")).otherwise(v) for c, v in made.items()}
+        named = named | (F.col("_n") == 1)
+    return staged.where(named).withColumns(made).withColumn("price_text", F.lit(None).cast("string")).drop("_best", "_texts", "_url", "_confidence", "_others", "_kept", "_n")
 
 
 #: Columns of the page and its source that every fragment carries along.
@@ -135,12 +146,11 @@ def aggregate_candidates(candidates: DataFrame, absolute: bool = False) -> DataF
     unless asked for; products that then share an identity are merged once more.
     """
     keys = ["request_id", "source", "_group"]
-    grouped = with_identity(candidates, absolute).withColumn("_group", F.coalesce("identity", F.concat(F.lit("candidate:"), F.col("ord").cast("string"))))
-    once = aggregate_group(grouped, keys).where(F.col("include_used") | (F.col("condition") != "used"))
-    # Chosen links keep their identity parameter, so a second merge seldom finds anything.
-    again = with_identity(once.drop("_group"), absolute).withColumn("_group", F.coalesce("identity", F.concat(F.lit("candidate:"), F.col("ord").cast("string"))))
+    alone = F.coalesce("identity", F.concat(F.lit("candidate:"), F.col("ord").cast("string")))
+    once = aggregate_group(with_identity(candidates, absolute).withColumn("_group", alone), keys)
+    once = once.where(F.col("include_used") | (F.col("condition") != "used")).drop("_group")
+    # Chosen links keep their identity parameter, so a second merge seldom finds anything; products
+    # that stay alone pass through it untouched.
+    again = with_identity(once, absolute).withColumn("_group", alone)
     again = again.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    single, several = again.where("_n = 1").drop("_n"), again.where("_n > 1").drop("_n", "fragment_count")
-    merged = with_identity(aggregate_group(several, keys), absolute)
-    return single.unionByName(merged).drop("_group")
-
+    return with_identity(aggregate_group(again, keys, again=True), absolute).drop("_group")

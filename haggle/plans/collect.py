@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from haggle.extract.frames import list_products
 from haggle.functions.urls import identity_key, tidy_url
@@ -29,13 +31,9 @@ def gate(pages: DataFrame, agent: str = "haggle/1.0") -> DataFrame:
     """Adds ``page_error``: a fetch error that the page already has, or a robots.txt that forbids it.
 
     ``pages`` have url, html, and may have robots_txt and fetch_error."""
-    from pyspark.sql.types import BooleanType
-
     columns = pages.columns
     error = F.col("fetch_error") if "fetch_error" in columns else F.lit(None).cast("string")
     if "robots_txt" in columns:
-        import pandas as pd
-
         @F.pandas_udf(BooleanType())
         def allowed(robots: pd.Series, url: pd.Series) -> pd.Series:
             return pd.Series([robots_allow(r, u, agent) for r, u in zip(robots, url)])

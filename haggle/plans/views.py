@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haggle.session import spread
 from haggle.sources.registry import SOURCES, sources_frame
 
+#: Tables whose rows are worth dealing out; the others are dimensions.
+FACTS = ("lineitem", "orders", "events", "pages", "documents")
+
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table in FACTS else rows
 
 
 def newest_first() -> list[Column]:

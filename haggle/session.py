@@ -23,3 +23,10 @@ def local_session(name: str = "haggle", cores: int | str = "*", shuffle_partitio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(df):
+    """A scan of fewer parts than half the cores is dealt out anew, so that one large row group
+    does not keep a whole pipeline on one core.  Only for plain scans."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
