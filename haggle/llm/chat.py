@@ -3,7 +3,7 @@
 A conversation becomes one string: adjacent turns of one role share a block
 ``<|im_start|>role\\ntext<|im_end|>\\n``, and inside a block the merged turns stand apart by
 ``<|im_sep|>``.  In texts a backslash is doubled and ``<|`` is written ``<\\|``, so no control
-string can come from a text and reading back is exact; roles also write a newline as ``\\n``.
+string can come from a text and reading back is exact; roles also write a newline as ``<|n|>``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+NEWLINE = "<|n|>"
 
 
 def escape(text: Column) -> Column:
@@ -23,13 +24,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+    # Escaped text has no '<|' left, so the mark for a newline is no one else's.
+    return F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE))
 
 
 def unescape_role(role: Column) -> Column:
-    # A doubled backslash is put aside first, so that only real escapes of a newline are read.
-    aside = F.replace(role, F.lit("\\\\"), F.lit("<|"))
-    return F.replace(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\\|"), F.lit("|")), F.lit("<|"), F.lit("\\"))
+    return unescape(F.replace(role, F.lit(NEWLINE), F.lit("\n")))
 
 
 def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:

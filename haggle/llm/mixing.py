@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of one source that one task numbers.
+#: Documents of one source that one task numbers at most, about.
 NUMBERED_AT_ONCE = 20_000
 #: Rows up to which the schedule is sent to all workers.
 BROADCAST_ROWS = 100_000
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     named = named.withColumn("s", F.when(F.col("s").isNull(), "-").otherwise(F.concat(F.lit("+"), "s")))
     counted = named.groupBy("s").count().collect()
     sizes = {r["s"]: r["count"] for r in counted}
-    parts = max(1, -(-sum(sizes.values()) // NUMBERED_AT_ONCE))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // NUMBERED_AT_ONCE))
     cell = named.withColumn("cell", F.pmod(F.shiftright("h", 8), F.lit(parts)).cast("int"))
     before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -70,7 +70,7 @@ ORACLE_SQL: dict[str, str] = {
         m AS (
           SELECT *, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), false) AS joins,
                  replace(replace(text, '\', '\\'), '<|', '<\|') AS shown,
-                 replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS shown_role
+                 replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|n|>') AS shown_role
           FROM t)
         SELECT conv_id,
                count(*)::BIGINT AS n_turns,
