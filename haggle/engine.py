@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haggle.extract.frames import exploded, parse_pages
-from haggle.operators.filters import access_error
+from haggle.operators.filters import access_error, eligible
+from haggle.operators.reduce import aggregate_candidates
 from haggle.operators.store import ProductStore
-from haggle.operators.summary import benchmark_summary, crawl_status, source_dashboard, summarize_products
+from haggle.operators.summary import benchmark_summary, candidate_summary, crawl_status, source_dashboard, summarize_products
 from haggle.plans.crawl import crawl_products
 from haggle.sources.files import as_products, file_rows, modified_at
 from haggle.sources.registry import search_url, select_sources, sources_frame
@@ -47,6 +48,7 @@ class Engine:
         parsed = parse_pages(pages.join(F.broadcast(requests), "source")).persist()
         counters = parsed.select(
             "request_id", "source", "source_ord", "title", "http_status", "render_error", "parse_error", "stats.*",
+            F.size(F.filter("candidates", lambda c: F.coalesce(c["image_url"], F.lit("")) != "")).alias("raw_image_candidate_count"),
             access_error(F.col("title"), F.col("http_status"), F.col("stats.html_length"), F.col("stats.total_link_count")).alias("access_error"),
         )
         blocked = counters.where("access_error is not null or render_error is not null").select("request_id", "source")
@@ -64,6 +66,12 @@ class Engine:
         kind = crawl_status(F.col("product_count"), F.col("render_errors"), F.col("error_count"))
         return products, counters, status.select("request_id", "query", "product_count", kind.alias("status"), F.when(kind.isin("render_error", "access_error"), F.col("errors")[0]).alias("error"), "errors")
 
+    def candidate_counters(self, requests: DataFrame, pages: DataFrame) -> DataFrame:
+        """How many candidates each page gave, how many products they became, and which have images."""
+        raw = exploded(parse_pages(pages.join(F.broadcast(requests), "source")))
+        reduced = aggregate_candidates(raw)
+        return candidate_summary(raw, reduced, eligible(reduced))
+
     # -- collect ----------------------------------------------------------------------------------------
 
     def collect(self, name: str, query: str | None = None, limit: int = 50) -> dict:

@@ -116,3 +116,29 @@ def selector_ranking(found: DataFrame, top: int = 8) -> DataFrame:
     )
     rank = F.row_number().over(Window.partitionBy("page_id", "field").orderBy(F.desc("matching_cards"), F.desc("match_count"), "ord"))
     return grouped.withColumn("rank", rank).where(F.col("rank") <= top).drop("ord")
+
+
+def secondhand_summary(rows: DataFrame) -> DataFrame:
+    """By saved file: second-hand products and what they lack; result pages never show a region."""
+    lacks = lambda c: F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == ""))
+    return rows.groupBy(F.col("path").alias("source_file")).agg(
+        F.count("*").alias("product_count"), lacks("product_name").alias("missing_name"), lacks("price").alias("missing_price"), lacks("image_url").alias("missing_image"),
+        F.count("*").alias("missing_region"), lacks("sale_status").alias("missing_sale_status"),
+    )
+
+
+def candidate_summary(raw: DataFrame, reduced: DataFrame, kept: DataFrame) -> DataFrame:
+    """By request and source: candidates as found, as reduced and as kept, those with images, and
+    up to five examples of images with an identity."""
+    by = ["request_id", "source"]
+    pictured = F.col("image_url").isNotNull() & (F.col("image_url") != "")
+    named = pictured & F.col("identity").isNotNull()
+    example = F.when(named, F.struct("ord", "identity", "image_url", "product_url"))
+    found = raw.groupBy(*by).agg(F.count("*").alias("raw_candidate_count"), F.count_if(pictured).alias("raw_image_candidate_count"))
+    grouped = reduced.groupBy(*by).agg(
+        F.count("*").alias("aggregated_candidate_count"), F.count_if(named).alias("image_candidates_with_identity_count"),
+        # A page's products are capped, so its examples fit in a row before they are cut to five.
+        F.slice(F.array_sort(F.collect_list(example)), 1, 5).alias("image_examples"),
+    )
+    last = kept.groupBy(*by).agg(F.count("*").alias("normalized_candidate_count"), F.count_if(pictured).alias("aggregated_image_candidate_count"))
+    return found.join(grouped, by, "left").join(last, by, "left").fillna(0)

@@ -40,9 +40,3 @@ def merge_pages(pages: DataFrame, source_url: str = DEFAULT_URL) -> tuple[DataFr
     ).crossJoin(pages.agg(F.count("*").alias("file_count")))
     return products, files, overall
 
-
-def result_json(products: DataFrame, summary: DataFrame, order: list[str], path: str) -> None:
-    """``{summary, products}`` as one JSON text file; a result's products fit in a row."""
-    listed = products.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*products.columns).alias("p")))).alias("all"))
-    whole = summary.select(F.struct("*").alias("summary")).crossJoin(listed.select(F.transform("all", lambda x: x["p"]).alias("products")))
-    whole.select(F.to_json(F.struct("summary", "products"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from haggle.engine import Engine
+from haggle.extract import frames
 from haggle.functions import price as P
 from haggle.functions import text as T
 from haggle.functions import urls as U
 from haggle.operators import filters, reduce, summary
 from haggle.operators.store import ProductStore
-from haggle.plans import collect, crawl, merge
+from haggle.plans import collect, crawl, merge, outputs
 from haggle.sources import api, config, files, registry
 from haggle.streaming import imports
 from tests.test_extract import ITEMS, saved_page
@@ -204,6 +205,10 @@ def test_engine_crawl(spark, tmp_path):
     assert (s.status, s.product_count, s.error) == ("success", 1, None)
     assert s.errors == ["musinsa: timeout", "kurly: Source returned an error page", "29cm: Source returned HTTP status 500"]
     assert counters.where("source = 'danawa'").first().total_link_count == 2
+    doc = json.loads(outputs.crawl_documents(products, status, counters).first()["value"])
+    assert (doc["query"], doc["product_count"], doc["products"][0]["source"], doc["debug"]["danawa"]["raw_image_candidate_count"]) == ("갤럭시 S25", 1, "danawa", 0)
+    (c,) = e.candidate_counters(asked, pages).where("source = 'danawa'").collect()
+    assert (c.raw_candidate_count, c.aggregated_candidate_count, c.normalized_candidate_count, c.image_candidates_with_identity_count, c.image_examples) == (2, 1, 1, 0, [])
     assert e.crawl(asked, pages.where("source = 'kurly'"))[2].first().status == "access_error"
     assert e.crawl(asked, pages.where("source = 'musinsa'"))[2].first().status == "render_error"
     assert e.crawl(asked, pages.limit(0))[2].first().status == "no_results"
@@ -355,7 +360,7 @@ def test_merge_of_saved_pages(spark, tmp_path):
     assert sorted((f.extracted_count, f.ad_count) for f in by_file.collect()) == [(2, 0), (3, 1)]
     _, summary_rows = merge.saved_rows(pages)
     assert sorted((s.total_before_dedup, s.total_after_dedup, s.duplicate_count) for s in summary_rows.collect()) == [(2, 2, 0), (4, 3, 1)]
-    merge.result_json(products.select("source_file", "item_ord", "product_name", "dedupe_key"), run, ["source_file", "item_ord"], str(tmp_path / "out"))
+    outputs.write_result(products.select("source_file", "item_ord", "product_name", "dedupe_key"), run, ["source_file", "item_ord"], str(tmp_path / "out"))
     text = spark.read.text(str(tmp_path / "out")).first()[0]
     assert [p["product_name"] for p in json.loads(text)["products"]] == ["광고 1", "일반 1", "일반 2", "셋"]
     with pytest.raises(Exception):
@@ -381,6 +386,19 @@ def test_streams(spark, tmp_path):
     assert [(r.data_source, r.last_status) for r in spark.table("latest").collect()] == [("s", "success")]
 
 
+def test_secondhand_pages_and_reports(spark):
+    html = '<a href="/product/1"><span class="line-clamp-2">폰</span><span class="text-18 font-bold">650,000</span></a>'
+    rows = frames.secondhand_products(spark.createDataFrame([("p", html), ("q", None)], "path string, html string"))
+    s = summary.secondhand_summary(rows.select("path", F.explode("products").alias("p")).select("path", "p.*")).first()
+    assert (s.product_count, s.missing_name, s.missing_image, s.missing_region, s.missing_sale_status) == (1, 0, 1, 1, 1)
+    page = "".join(f'<li class="card"><a class="nm" href="/p/{i}">물건 {c}</a><span class="pr">{i}9,900원</span></li>' for i, c in enumerate("abc"))
+    cards, fields = outputs.discovery(spark.createDataFrame([(1, page)], "page_id int, html string"))
+    draft = outputs.draft_config("s", "https://s.example", cards, fields)["sources"][0]
+    assert draft["permission"]["approved"] is False and draft["selectors"] == {} and fields["price"][0]["matching_cards"] == 3
+    assert "product_card:" in outputs.text_report("s", "u", cards, fields) and "approved: false" in outputs.draft_yaml({"sources": [draft]})
+    assert outputs.file_name(" 갤럭시 S25! ") == "갤럭시_S25" and outputs.file_name("!!") == "query"
+
+
 def test_quality_of_nothing(spark):
     empty = spark.createDataFrame([], "price double, shipping_fee double, seller string, product_url string, detail_description string")
     r = summary.summarize_products(empty).first()
