@@ -107,4 +107,20 @@ ORACLE_SQL: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         WHERE rank <= 20
     """,
+    "op2_near_dup": r"""
+        WITH RECURSIVE w AS (
+          SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS w FROM documents),
+        s AS (
+          SELECT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4])) ELSE [hash(w)] END) AS s FROM w WHERE len(w) > 0),
+        c AS (SELECT r, s, count(*) AS n FROM s GROUP BY ALL),
+        t AS (SELECT r, sum(n) AS total FROM c GROUP BY r),
+        o AS (SELECT a.r AS a, b.r AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN t x ON x.r = a JOIN t y ON y.r = b WHERE shared >= 0.8 * (x.total + y.total - shared) - 1e-9),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        p(node, seen) AS (SELECT r, r FROM w UNION SELECT p.node, e.b FROM p JOIN e ON p.seen = e.a),
+        g AS (SELECT node, min(seen) AS class FROM p GROUP BY node),
+        m AS (SELECT class, min(doc_id) AS class_id FROM g JOIN w ON w.r = node GROUP BY class)
+        SELECT doc_id, class_id, doc_id = class_id AS kept FROM w JOIN g ON node = r JOIN m USING (class)
+    """,
 }

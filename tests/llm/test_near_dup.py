@@ -76,3 +76,16 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == [("1", "1"), ("1", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
     assert sum(r.kept for r in got) == 3
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    from haggle.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(map(tuple, con.sql(ORACLE_SQL["op2_near_dup"]).df()[["doc_id", "class_id", "kept"]].values.tolist()))
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in QUERIES["op2_near_dup"](spark, sf).collect())
+    assert got == want
