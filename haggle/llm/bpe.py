@@ -33,7 +33,7 @@ LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 LATIN_NUMBERS = "0-9²³¹¼-¾"
 
 #: Entries of each of the two generations of a worker's pre-token memory.
-MEMO = 250_000
+MEMO = 150_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -108,9 +108,9 @@ class ByteBpe:
         for i, b in self.plain_ids.items():
             self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
-        self.right = lru_cache(200_000)(lambda t: self._spine(t, 2))
-        self.left = lru_cache(200_000)(lambda t: self._spine(t, 1))
-        self.fits = lru_cache(400_000)(self._fits)
+        self.right = lru_cache(60_000)(lambda t: self._spine(t, 2))
+        self.left = lru_cache(60_000)(lambda t: self._spine(t, 1))
+        self.fits = lru_cache(200_000)(self._fits)
         self.memo = Memo(lambda p: ",".join(map(str, self.word_ids(p))))
         self.text_of = {str(i): b for i, b in self.bytes_of.items()}
 

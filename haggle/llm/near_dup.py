@@ -32,7 +32,7 @@ BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 #: Texts whose shingles are sketched together.
 TEXTS_AT_ONCE = 64
-BLOCK = 1024
+BLOCK = 512
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -171,10 +171,10 @@ def near_slots(g: pa.Table, near: float) -> tuple[np.ndarray, np.ndarray, np.nda
             continue
         share = (sig == sig[i]).mean(axis=1)
         fits = np.flatnonzero((share >= near) & (root != root[i]) & ((block != block[i]) if cross else (np.arange(len(sig)) > i)))
-        a.append(np.full(len(fits), i))
-        b.append(fits)
-        how.append(share[fits])
-    return tuple(np.concatenate(x) if x else np.empty(0, int) for x in (a, b, how))
+        a.append(np.full(len(fits), i, np.int32))
+        b.append(fits.astype(np.int32))
+        how.append(share[fits].astype(np.float32))
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int32) for x in (a, b, how))
 
 
 def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roots: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -236,7 +236,8 @@ def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roo
                 return bags[i]
 
             out = []
-            for p in np.argsort(-how, kind="stable"):
+            nearest = np.argsort(-how, kind="stable").astype(np.int32)
+            for p in nearest:
                 i, k = int(a[p]), int(b[p])
                 x, y = find(root[i]), find(root[k])
                 if x != y and overlap(bag(i), bag(k)) >= threshold - 1e-12:
