@@ -89,28 +89,40 @@ def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(data, bitorder="little")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs more."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64).tobytes()
+
+
+def unpacked(counts: bytes, keys: bytes) -> np.ndarray:
+    return np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(keys) else np.int64)
+
+
 class Model:
-    """What workers get: exact word counts, the filter's parts side by side, and the totals."""
+    """What workers get: exact word counts, the filter's parts side by side, and the totals.
+
+    ``rows`` is emptied on the way, so that parts and whole are not held together."""
 
-    def __init__(self, shards: int, rows: list[dict], train_texts: int):
+    def __init__(self, shards: int, rows: list, train_texts: int):
         self.shards, self.texts = shards, train_texts
-        parts = {r["shard"]: r for r in rows}
-        sizes, blobs, keys, counts = [], [], [], []
-        for s in range(shards):
-            r = parts.get(s)
-            blobs.append(np.frombuffer(r["filter"], np.uint8) if r else np.zeros(8, np.uint8))
-            sizes.append(len(blobs[-1]) * 8)
-            if r:
-                keys.append(np.frombuffer(r["words"], np.uint64))
-                counts.append(np.frombuffer(r["counts"], np.int64))
-        self.size = np.array(sizes, np.uint64)
+        blobs: list = [np.zeros(8, np.uint8)] * shards
+        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        while rows:
+            r = rows.pop()
+            blobs[r["shard"]] = np.frombuffer(r["filter"], np.uint8)
+            keys.append(np.frombuffer(r["words"], np.uint64))
+            counts.append(unpacked(r["counts"], r["words"]))
+            del r
+        self.size = np.array([len(x) * 8 for x in blobs], np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.uint64)
         self.filter = np.concatenate(blobs)
-        keys_all = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        counts_all = np.concatenate(counts) if counts else np.empty(0, np.int64)
-        order = np.argsort(keys_all)
-        self.keys, self.counts = keys_all[order], counts_all[order].astype(np.uint32 if counts_all.max(initial=0) < 2**32 else np.int64)
-        self.total, self.distinct = int(counts_all.sum()), len(keys_all)
+        del blobs
+        self.keys = np.concatenate(keys)
+        del keys
+        order = np.argsort(self.keys).astype(np.uint32 if len(self.keys) < 2**32 else np.int64)
+        self.keys = self.keys[order]
+        self.counts = np.concatenate(counts)[order]
+        self.total, self.distinct = int(self.counts.sum(dtype=np.int64)), len(self.keys)
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -212,9 +224,9 @@ def train(docs: DataFrame, shards: int, pair_min: int, id_col: str = "doc_id") -
             {
                 "shard": [int(rows["shard"].iloc[0])],
                 "words": [words.tobytes()],
-                "counts": [counts.tobytes()],
+                "counts": [packed(counts)],
                 "pairs": [pairs.tobytes()],
-                "pair_counts": [pair_counts.tobytes()],
+                "pair_counts": [packed(pair_counts)],
                 "filter": [bits.tobytes()],
                 "total": [int(counts.sum())],
                 "distinct": [len(words)],
@@ -249,14 +261,12 @@ def lm_scores(
         F.sum("total").alias("total"),
         F.sum("distinct").alias("distinct"),
         F.sum("texts").alias("texts"),
-        F.sum(F.length("words") + F.length("filter")).alias("bytes"),
+        F.sum(F.length("words") + F.length("counts") + F.length("filter")).alias("bytes"),
     ).first()
     total, distinct, texts = facts["total"] or 0, facts["distinct"] or 0, facts["texts"] or 0
     if (facts["bytes"] or 0) > broadcast_bytes:
         return _joined(docs, parts, total, distinct, texts, id_col)
-    rows = [r.asDict() for r in parts.select("shard", "words", "counts", "filter").collect()]
-    sent = spark.sparkContext.broadcast(Model(shards, rows, texts))
-    del rows
+    sent = spark.sparkContext.broadcast(Model(shards, parts.select("shard", "words", "counts", "filter").collect(), texts))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -295,7 +305,7 @@ def _joined(docs: DataFrame, parts: DataFrame, total: int, distinct: int, texts:
         def run(batches):
             for batch in batches:
                 for k, c in zip(batch.column(0), batch.column(1)):
-                    key, count = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
+                    key, count = np.frombuffer(k.as_py(), np.int64), unpacked(c.as_py(), k.as_py()).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "c"])
 
         return parts.select(keys, counts).mapInArrow(run, "key bigint, c bigint")
