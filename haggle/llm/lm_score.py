@@ -101,34 +101,42 @@ def unpacked(counts: bytes, keys: bytes) -> np.ndarray:
 class Model:
     """What workers get: exact word counts, the filter's parts side by side, and the totals.
 
-    ``rows`` is emptied on the way, so that parts and whole are not held together."""
-
-    def __init__(self, shards: int, rows: list, train_texts: int):
-        self.shards, self.texts = shards, train_texts
-        blobs: list = [np.zeros(8, np.uint8)] * shards
-        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-        while rows:
-            r = rows.pop()
-            blobs[r["shard"]] = np.frombuffer(r["filter"], np.uint8)
-            keys.append(np.frombuffer(r["words"], np.uint64))
-            counts.append(unpacked(r["counts"], r["words"]))
-            del r
-        self.size = np.array([len(x) * 8 for x in blobs], np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.uint64)
-        self.filter = np.concatenate(blobs)
-        del blobs
-        self.keys = np.concatenate(keys)
-        del keys
-        order = np.argsort(self.keys).astype(np.uint32 if len(self.keys) < 2**32 else np.int64)
-        self.keys = self.keys[order]
-        self.counts = np.concatenate(counts)[order]
-        self.total, self.distinct = int(self.counts.sum(dtype=np.int64)), len(self.keys)
+    The arrays are laid out at once and filled shard by shard as ``rows`` arrive, so the driver
+    never holds the parts and the whole together.  A shard's words are in order."""
+
+    def __init__(self, shards: int, rows, distinct: int, filter_bytes: int, train_texts: int):
+        self.shards, self.texts, self.distinct = shards, train_texts, distinct
+        self.keys, self.counts = np.empty(distinct, np.uint64), np.empty(distinct, np.uint32)
+        # A shard that never arrives has one empty word of filter.
+        self.filter = np.zeros(filter_bytes + 8, np.uint8)
+        self.first, self.words = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+        self.start, self.size = np.full(shards, filter_bytes * 8, np.uint64), np.full(shards, 64, np.uint64)
+        at = bits = 0
+        for r in rows:
+            s, bloom = r["shard"], np.frombuffer(r["filter"], np.uint8)
+            own, counts = np.frombuffer(r["words"], np.uint64), unpacked(r["counts"], r["words"])
+            if counts.dtype.itemsize > self.counts.dtype.itemsize:
+                self.counts = self.counts.astype(np.int64)
+            self.keys[at : at + len(own)], self.counts[at : at + len(own)] = own, counts
+            self.first[s], self.words[s] = at, len(own)
+            self.filter[bits : bits + len(bloom)] = bloom
+            self.start[s], self.size[s] = bits * 8, len(bloom) * 8
+            at, bits = at + len(own), bits + len(bloom)
+        self.total = int(self.counts.sum(dtype=np.int64))
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0).astype(np.int64)
+        """Counts of words in training; ``keys`` are in order."""
+        found = np.zeros(len(keys), np.int64)
+        shard = (keys % U(self.shards)).astype(np.uint16 if self.shards < 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(bounds) * self.words):
+            asked = order[bounds[s] : bounds[s + 1]]
+            own = self.keys[self.first[s] : self.first[s] + self.words[s]]
+            at = np.minimum(np.searchsorted(own, keys[asked]), len(own) - 1)
+            hit = own[at] == keys[asked]
+            found[asked[hit]] = self.counts[self.first[s] + at[hit]]
+        return found
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Levels found by membership probes, level after level."""
@@ -261,12 +269,14 @@ def lm_scores(
         F.sum("total").alias("total"),
         F.sum("distinct").alias("distinct"),
         F.sum("texts").alias("texts"),
+        F.sum(F.length("filter")).alias("filter_bytes"),
         F.sum(F.length("words") + F.length("counts") + F.length("filter")).alias("bytes"),
     ).first()
     total, distinct, texts = facts["total"] or 0, facts["distinct"] or 0, facts["texts"] or 0
     if (facts["bytes"] or 0) > broadcast_bytes:
         return _joined(docs, parts, total, distinct, texts, id_col)
-    sent = spark.sparkContext.broadcast(Model(shards, parts.select("shard", "words", "counts", "filter").collect(), texts))
+    rows = parts.select("shard", "words", "counts", "filter").toLocalIterator()
+    sent = spark.sparkContext.broadcast(Model(shards, rows, distinct, facts["filter_bytes"] or 0, texts))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
