@@ -73,7 +73,8 @@ def _cut_points(raw: bytes) -> Iterator[bytes]:
     """Parts of a long text, cut where white space stands."""
     at = 0
     while len(raw) - at > PIECE_BYTES:
-        end = raw.rfind(b" ", at, at + PIECE_BYTES)
+        # A cut stands on a space, which the next part begins with: look behind it.
+        end = raw.rfind(b" ", at + 1, at + PIECE_BYTES)
         if end < 0:
             end = raw.find(b" ", at + PIECE_BYTES)
         if end < 0:

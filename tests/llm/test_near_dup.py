@@ -1,9 +1,10 @@
 import random
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 
-from haggle.llm import near_dup
+from haggle.llm import near_dup, words
 
 
 def bag(text):
@@ -89,3 +90,15 @@ def test_query_matches_sql(spark):
     want = sorted(map(tuple, con.sql(ORACLE_SQL["op2_near_dup"]).df()[["doc_id", "class_id", "kept"]].values.tolist()))
     got = sorted((r.doc_id, r.class_id, r.kept) for r in QUERIES["op2_near_dup"](spark, sf).collect())
     assert got == want
+
+
+def test_long_words_behind_short_ones_are_cut_once():
+    long = "x" * (3 << 20)
+    for text in (f"a {long}", f"{long} b {long} c", f" {long}", f"a b {long}  {'y ' * (1 << 20)}z"):
+        raw = text.encode()
+        parts = list(islice(words._cut_points(raw), 50))
+        assert b"".join(parts) == raw and all(parts)
+        hashes, counts = words.hash_texts(["p q", text, "r"])
+        assert list(counts) == [2, len(text.split()), 1]
+        singly, _ = words.hash_texts([w for w in text.split()][:3])
+        assert list(hashes[2 : 2 + len(singly)]) == list(singly)
