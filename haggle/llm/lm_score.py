@@ -7,7 +7,7 @@ one is absent.  Pairs seen once are not held, as usual for higher orders (``pair
 Counts are gathered by shard of the n-gram's hash: every task sends sorted hashes and counts for
 each shard, and a shard's merge adds them up and sets the bits of its own part of the filter.
 The parts are broadcast while exact word counts and filter stay under ``broadcast_bytes``; beyond
-that, words and pairs are joined to the same quantised counts by shuffles.
+that, n-grams are sent to the shards of the filter and probed there.  Scores are the same both ways.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ BITS_PER_ENTRY, PROBES = 10, 7
 PAIR_WEIGHT = 0.4
 #: N-grams held in a task before they are summed and sent on.
 HELD = 1 << 21
+#: Bytes of text whose n-grams are asked of the shards together.
+CHUNK_BYTES = 8 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -98,6 +101,31 @@ def unpacked(counts: bytes, keys: bytes) -> np.ndarray:
     return np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(keys) else np.int64)
 
 
+def probed(bits_held: np.ndarray, keys: np.ndarray, size: np.ndarray | int, start: np.ndarray | int = 0) -> np.ndarray:
+    """The level up to which each key is in its filter of ``size`` bits from bit ``start`` on."""
+    size, start = (np.broadcast_to(np.asarray(x, np.uint64), len(keys)) for x in (size, start))
+    found = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys))
+    for k in range(1, 64):
+        places = bits_at(keys[live], np.full(len(live), k), size[live]) + start[live]
+        there = np.ones(len(live), bool)
+        for row in places:
+            there &= (bits_held[(row >> U(3)).astype(np.int64)] >> (row & U(7)).astype(np.uint8)) & 1 == 1
+        live = live[there]
+        if not len(live):
+            break
+        found[live] = k
+    return found
+
+
+def found_in(own: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The counts of ``keys`` among the ordered keys ``own``."""
+    if not len(own):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    return np.where(own[at] == keys, counts[at], 0).astype(np.int64)
+
+
 class Model:
     """What workers get: exact word counts, the filter's parts side by side, and the totals.
 
@@ -133,27 +161,13 @@ class Model:
         for s in np.flatnonzero(np.diff(bounds) * self.words):
             asked = order[bounds[s] : bounds[s + 1]]
             own = self.keys[self.first[s] : self.first[s] + self.words[s]]
-            at = np.minimum(np.searchsorted(own, keys[asked]), len(own) - 1)
-            hit = own[at] == keys[asked]
-            found[asked[hit]] = self.counts[self.first[s] + at[hit]]
+            found[asked] = found_in(own, self.counts[self.first[s] : self.first[s] + self.words[s]], keys[asked])
         return found
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Levels found by membership probes, level after level."""
-        found = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
         shard = (keys % U(self.shards)).astype(np.int64)
-        for k in range(1, 64):
-            own = shard[live]
-            places = bits_at(keys[live], np.full(len(live), k), self.size[own]) + self.start[own]
-            there = np.ones(len(live), bool)
-            for row in places:
-                there &= (self.filter[(row >> U(3)).astype(np.int64)] >> (row & U(7)).astype(np.uint8)) & 1 == 1
-            live = live[there]
-            if not len(live):
-                break
-            found[live] = k
-        return found
+        return probed(self.filter, keys, self.size[shard], self.start[shard])
 
 
 def scores(token, before, pair, n, exact, word_level, before_level, pair_level, total, distinct, texts):
@@ -214,7 +228,7 @@ def shard_counts(docs: DataFrame, shards: int, id_col: str) -> DataFrame:
 
 
 def train(docs: DataFrame, shards: int, pair_min: int, id_col: str = "doc_id") -> DataFrame:
-    """One row for each shard: exact words and counts, held pairs and counts, the filter, totals."""
+    """One row for each shard: exact words and counts, the filter, totals."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         def both(kind):
@@ -233,8 +247,6 @@ def train(docs: DataFrame, shards: int, pair_min: int, id_col: str = "doc_id") -
                 "shard": [int(rows["shard"].iloc[0])],
                 "words": [words.tobytes()],
                 "counts": [packed(counts)],
-                "pairs": [pairs.tobytes()],
-                "pair_counts": [packed(pair_counts)],
                 "filter": [bits.tobytes()],
                 "total": [int(counts.sum())],
                 "distinct": [len(words)],
@@ -242,7 +254,7 @@ def train(docs: DataFrame, shards: int, pair_min: int, id_col: str = "doc_id") -
             }
         )
 
-    schema = "shard int, words binary, counts binary, pairs binary, pair_counts binary, filter binary, total bigint, distinct bigint, texts bigint"
+    schema = "shard int, words binary, counts binary, filter binary, total bigint, distinct bigint, texts bigint"
     return shard_counts(docs, shards, id_col).groupBy("shard").applyInPandas(merge, schema)
 
 
@@ -274,7 +286,7 @@ def lm_scores(
     ).first()
     total, distinct, texts = facts["total"] or 0, facts["distinct"] or 0, facts["texts"] or 0
     if (facts["bytes"] or 0) > broadcast_bytes:
-        return _joined(docs, parts, total, distinct, texts, id_col)
+        return _routed(docs, parts, shards, total, distinct, texts, id_col)
     rows = parts.select("shard", "words", "counts", "filter").toLocalIterator()
     sent = spark.sparkContext.broadcast(Model(shards, rows, distinct, facts["filter_bytes"] or 0, texts))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -308,57 +320,103 @@ def lm_scores(
     return map_arrow(docs.select(id_col, "text"), make, f"`{id_col}` {kind}, {COLUMNS}")
 
 
-def _joined(docs: DataFrame, parts: DataFrame, total: int, distinct: int, texts: int, id_col: str) -> DataFrame:
-    """The way beyond the broadcast bound: counts meet tokens by shuffles, each count one row."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """``chunk, id, text`` of ``docs`` (row, id, text): rows in a row share a chunk, named by its first row."""
+
+    def run(batches):
+        chunk, size = None, 0
+        for batch in batches:
+            names = []
+            for row, width in zip(batch.column(0).to_pylist(), pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
+                if chunk is None or size >= CHUNK_BYTES:
+                    chunk, size = row, 0
+                names.append(chunk)
+                size += width + 1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(1), batch.column(2)], ["chunk", "id", "text"])
+
+    return docs.mapInArrow(run, f"chunk bigint, id {docs.schema['id'].dataType.simpleString()}, text string")
+
 
-    def rows_of(keys: str, counts: str):
-        def run(batches):
-            for batch in batches:
-                for k, c in zip(batch.column(0), batch.column(1)):
-                    key, count = np.frombuffer(k.as_py(), np.int64), unpacked(c.as_py(), k.as_py()).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "c"])
+def _asked(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk's distinct keys are asked, shard after shard, and each shard's bounds."""
+    own = (keys % U(shards)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], np.arange(shards + 1))
 
-        return parts.select(keys, counts).mapInArrow(run, "key bigint, c bigint")
 
-    words, pairs = rows_of("words", "counts"), rows_of("pairs", "pair_counts")
-    numbered = docs.select(id_col, "text").withColumn("row", F.monotonically_increasing_id())
+def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary for each run of ``values`` between two bounds."""
+    places = (bounds * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def tokens(batches):
+
+def _gathered(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def _routed(docs: DataFrame, parts: DataFrame, shards: int, total: int, distinct: int, texts: int, id_col: str) -> DataFrame:
+    """The way beyond the broadcast bound: a chunk's distinct n-grams go to the shards that hold them,
+    are probed and counted there, and the answers come back to the chunk's texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    row = F.monotonically_increasing_id().alias("row")
+    chunks = cut(_chunks(docs.select(row, F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))))
+
+    def ask(batches):
+        def send(chunk, held):
+            token, before, pair, _ = grams(held)
+            columns = []
+            for keys in (np.unique(np.concatenate([token, before])), np.unique(pair)):
+                order, bounds = _asked(keys, shards)
+                columns.append(_binaries(keys[order], bounds))
+            batch = pa.RecordBatch.from_arrays([pa.array(np.full(shards, chunk)), pa.array(np.arange(shards, dtype=np.int32)), *columns], ["chunk", "shard", "words", "pairs"])
+            return batch.filter(pc.greater(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))), 0))
+
+        chunk, held = None, []
         for batch in batches:
-            token, before, pair, n = grams([v.as_py() or "" for v in batch.column(1)])
-            frame = pd.DataFrame(
-                {
-                    "row": np.repeat(np.asarray(batch.column(2)), n),
-                    "token": token.view(np.int64),
-                    "before": before.view(np.int64),
-                    "pair": pair.view(np.int64),
-                }
-            )
-            frame = frame.groupby(["row", "token", "before", "pair"], as_index=False).size()
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    counted = cut(numbered)
-    grammed = counted.mapInArrow(tokens, "row bigint, token bigint, before bigint, pair bigint, size bigint")
-    middle = lambda c: F.when(F.col(c) > 0, (F.pow(F.lit(2.0), F.floor(F.log2(c))) + F.pow(F.lit(2.0), F.floor(F.log2(c)) + 1) - 1) / 2).otherwise(0.0)
-    seen = (
-        grammed.join(words.select(F.col("key").alias("token"), F.col("c").alias("c_token")), "token", "left")
-        .join(words.select(F.col("key").alias("before"), F.col("c").alias("c_before")), "before", "left")
-        .join(pairs.select(F.col("key").alias("pair"), F.col("c").alias("c_pair")), "pair", "left")
-        .fillna(0, ["c_token", "c_before", "c_pair"])
-    )
-    alone = (F.least(middle("c_token"), F.lit(float(total))) + 1) / F.lit(float(total + distinct + 1))
-    start = int(np.array([START]).view(np.int64)[0])
-    context = F.when(F.col("before") == start, F.lit(float(texts))).otherwise(middle("c_before"))
-    share = F.when(middle("c_pair") > 0, middle("c_pair") / F.greatest(context, middle("c_pair"))).otherwise(0.0)
-    p = F.when(context > 0, F.lit(PAIR_WEIGHT) * share + F.lit(1 - PAIR_WEIGHT) * alone).otherwise(alone)
-    base = F.log10((F.col("c_token") + 1) / F.lit(float(total + distinct + 1)))
-    summed_up = seen.groupBy("row").agg(
-        F.sum("size").alias("n_tokens"),
-        F.sum(F.when(F.col("c_token") > 0, F.col("size")).otherwise(0)).alias("n_known"),
-        F.sum(base * F.col("size")).alias("base_score"),
-        F.sum(F.log10(p) * F.col("size")).alias("score"),
-    )
-    out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    return counted.join(summed_up, "row").select(
-        id_col, out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != chunk:
+                    if held:
+                        yield send(chunk, held)
+                    chunk, held = name, []
+                held.append(text.as_py() or "")
+        if held:
+            yield send(chunk, held)
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        words, pairs = _gathered(asked["words"], np.uint64), _gathered(asked["pairs"], np.uint64)
+        exact, level_of_word, level_of_pair = (np.zeros(n, t) for n, t in ((len(words), np.int64), (len(words), np.uint8), (len(pairs), np.uint8)))
+        if part.num_rows and asked.num_rows:
+            own, counts = part["words"][0].as_py(), part["counts"][0].as_py()
+            exact = found_in(np.frombuffer(own, np.uint64), unpacked(counts, own), words)
+            bits = np.frombuffer(part["filter"][0].as_py(), np.uint8)
+            level_of_word, level_of_pair = (probed(bits, x, len(bits) * 8).astype(np.uint8) for x in (words, pairs))
+        bounds_of = lambda c: np.concatenate([[0], np.cumsum(pc.binary_length(asked[c]).to_numpy() // 8)]).astype(np.int64)
+        w, p = bounds_of("words"), bounds_of("pairs")
+        columns = [asked["chunk"], asked["shard"], _binaries(exact, w), _binaries(level_of_word, w), _binaries(level_of_pair, p)]
+        return pa.Table.from_arrays(columns, ["chunk", "shard", "exact", "word_level", "pair_level"])
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        token, before, pair, n = grams([v.as_py() or "" for v in own["text"]])
+        keys, back = np.unique(np.concatenate([token, before]), return_inverse=True)
+        pairs, pair_back = np.unique(pair, return_inverse=True)
+        answers = answers.sort_by("shard")
+
+        def put(keys, column, dtype):
+            out = np.empty(len(keys), np.int64)
+            out[_asked(keys, shards)[0]] = _gathered(answers[column], dtype)
+            return out
+
+        exact, level_of = put(keys, "exact", np.int64), put(keys, "word_level", np.uint8)
+        at, at_before = back[: len(token)], back[len(token) :]
+        known, base, model = scores(
+            token, before, pair, n, exact[at], level_of[at], level_of[at_before], put(pairs, "pair_level", np.uint8)[pair_back], total, distinct, texts
+        )
+        columns = [own["id"], [held_out(d) for d in own["id"].to_pylist()], n, known, np.full(len(n), total), base, model]
+        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], [id_col, *(c.split()[0] for c in COLUMNS.split(", "))])
+
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk bigint, shard int, words binary, pairs binary")
+    answers = (
+        asked.groupBy("shard").cogroup(parts.select("shard", "words", "counts", "filter").groupBy("shard"))
+        .applyInArrow(answer, "chunk bigint, shard int, exact binary, word_level binary, pair_level binary")
     )
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, {COLUMNS}")

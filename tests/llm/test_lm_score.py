@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -50,3 +51,15 @@ def test_base_matches_brute_force_on_both_ways(spark):
 
 def test_empty_table(spark):
     assert lm_score.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_scores_are_the_filters_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(60)))) for i in range(400)]
+    rows += [(10**15 + 7, None), (None, "w1 w2"), (None, ""), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (str(r.doc_id), r.score)
+    sent, routed = (sorted(lm_score.lm_scores(docs, broadcast_bytes=b).collect(), key=key) for b in (1 << 30, 0))
+    assert sent == routed
+    assert len(sent) == len(rows)
