@@ -2,7 +2,7 @@
 
 Training counts words and word pairs.  A count c is quantised to level 1 + floor(log2 c), and the
 filter holds (n-gram, 1) ... (n-gram, level); a worker finds a count again by probing levels until
-one is absent.  Pairs seen once are not held, as usual for higher orders (``pair_min``).
+one is absent.  Every pair is held; ``pair_min`` may leave out pairs of smaller counts.
 
 Counts are gathered by shard of the n-gram's hash: every task sends sorted hashes and counts for
 each shard, and a shard's merge adds them up and sets the bits of its own part of the filter.
@@ -263,7 +263,7 @@ COLUMNS = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigin
 
 def lm_scores(
     docs: DataFrame,
-    pair_min: int = 2,
+    pair_min: int = 1,
     broadcast_bytes: int = 160 << 20,
     id_col: str = "doc_id",
 ) -> DataFrame:

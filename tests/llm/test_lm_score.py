@@ -63,3 +63,14 @@ def test_scores_are_the_filters_at_every_size(spark, monkeypatch):
     sent, routed = (sorted(lm_score.lm_scores(docs, broadcast_bytes=b).collect(), key=key) for b in (1 << 30, 0))
     assert sent == routed
     assert len(sent) == len(rows)
+
+
+def test_pairs_seen_once_count(spark):
+    ids = [i for i in range(40) if not lm_score.held_out(i)][:2] + [next(i for i in range(40) if lm_score.held_out(i))]
+    docs = spark.createDataFrame(list(zip(ids, ("alpha beta gamma", "delta alpha delta", "alpha beta"))), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(docs).collect()}[ids[2]]
+    # 8 tokens of 5 kinds in training; counts quantise to themselves up to 2 (1.. 2-3 -> 2.5).
+    of = {"alpha": 2.5, "beta": 1.0, None: 2.5}
+    alone = {w: (c + 1) / (8 + 5 + 1) for w, c in of.items()}
+    p = [0.4 * 1 / 2 + 0.6 * alone["alpha"], 0.4 * 1 / 2.5 + 0.6 * alone["beta"], 0.6 * alone[None]]
+    assert abs(got - sum(map(math.log10, p))) < 1e-9
