@@ -27,8 +27,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts; the ids decode back to them."""
-    return bpe.bpe_corpus(docs)
+    """Encode the texts in their mixed order, which ``position`` tells; the ids decode back to them."""
+    return bpe.bpe_corpus(mixing.in_order(docs))
 
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]

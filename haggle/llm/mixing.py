@@ -13,9 +13,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Documents of one source that one task numbers at most, about.
 NUMBERED_AT_ONCE = 20_000
 #: Rows up to which the schedule is sent to all workers.
@@ -130,6 +133,37 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     )
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` as :func:`mix` with ``keep`` left it, with its ``position`` (from 0), dealt out and sorted by it.
+
+    Read back from one Parquet write, rows stand in the order of the files' task numbers and inside a
+    file in that of its rows, whatever order the files are scanned in; other DataFrames are taken
+    in the order of their partitions.  A column named ``position`` is replaced.
+    """
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c != "position"]
+    try:
+        file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        docs.select(file, row).schema  # noqa: B018
+        number = lambda pattern: F.coalesce(F.regexp_extract(file, pattern, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+        placed = docs.select(F.struct(*(docs[c] for c in kept)).alias("d"), number("^part-([0-9]+)").alias("task"), number("-c([0-9]+)[.]").alias("piece"), file.alias("file"), row.alias("row"))
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        held = cut(docs.select(F.struct(*(docs[c] for c in kept)).alias("d"), row.alias("row")))
+        placed = held.select("d", F.shiftright("row", 33).alias("task"), F.lit(0).cast("bigint").alias("piece"), F.lit("").alias("file"), (F.col("row") % (1 << 33)).alias("row"))
+    sizes = sorted((r["task"], r["piece"], r["file"], r["count"]) for r in placed.groupBy("task", "piece", "file").count().collect())
+    starts, total = [], 0
+    for task, piece, file, n in sizes:
+        starts.append((task, piece, file, total))
+        total += n
+    first = spark.createDataFrame(starts, "task bigint, piece bigint, file string, first bigint")
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = placed.join(F.broadcast(first), ["task", "piece", "file"]).withColumn("position", F.col("first") + F.col("row"))
+    deal = F.least(F.floor(F.col("position") * deals / max(total, 1)), F.lit(deals - 1)).cast("int")
+    ordered = found.select("d", "position").repartitionById(deals, deal).sortWithinPartitions("position")
+    return ordered.select(*(F.col("d").getField(c).alias(c) for c in kept), "position")
+
+
 def _position(phases: list[Phase], sizes: dict, block: int) -> Column:
     """Documents before one: full blocks up to its slot, less what short blocks before it lack."""
     lacking = []

@@ -59,3 +59,22 @@ def test_quality_of_odd_texts(spark):
     got = quality.quality_scores(docs).collect()
     assert len(got) == 3
     assert quality.quality_scores(docs.limit(0)).count() == 0
+
+
+def test_mixed_order_survives_files_of_unequal_size(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " + "pad " * (i % 7 * 40), f"src{i % 3}") for i in range(3000)], "doc_id long, text string, source string").cache()
+    order = [r.doc_id for r in sorted(mixing.mix(docs, SOURCE_WEIGHTS).collect(), key=lambda r: r.position)]
+    mixed = corpus_pipeline.mixing_stage(spark, docs, SF)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    for back in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        got = corpus_pipeline.bpe_stage(spark, back, SF).select("doc_id", "position").collect()
+        assert [r.doc_id for r in got] == order
+        assert [r.position for r in got] == list(range(len(order)))
+
+
+def test_the_pipeline_returns_the_mixed_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    kept = near_dup.deduplicate(quality.quality_filter(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+    order = [r.doc_id for r in sorted(mixing.mix(kept, SOURCE_WEIGHTS).collect(), key=lambda r: r.position)]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert [r.doc_id for r in got] == order and [r.position for r in got] == list(range(len(order)))
