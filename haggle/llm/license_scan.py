@@ -92,11 +92,10 @@ class Index:
         frequency = frequency or {}
         self.vocabulary = frozenset(self.postings) | {w for _, p in self.base for w in p}
         self.idf = {w: math.log((files + 1) / (frequency.get(w, 0) + 1)) for w in self.vocabulary}
-        # A template is looked for by its rarest words, in as many as its key phrases have at least.
-        self.rare = [
-            set(sorted(set(words), key=lambda w: (-self.idf[w], w))[: max(2, len(keys[0]) // 2)])
-            for _, words, keys in self.templates
-        ]
+        # A template is looked for by its rarest words, in as many as its key phrases have at least, and
+        # by the two rarest of each key phrase, so that a file with a key phrase always has two votes.
+        rarest = lambda words, n: set(sorted(set(words), key=lambda w: (-self.idf[w], w))[:n])
+        self.rare = [rarest(words, max(2, len(keys[0]) // 2)).union(*(rarest(k, 2) for k in keys)) for _, words, keys in self.templates]
         self.anchor = [(label, p, min(range(len(p)), key=lambda i: (-self.idf[p[i]], i))) for label, p in self.base]
         self.wanted = set().union(*self.rare) | {p[i] for _, p, i in self.anchor}
 

@@ -164,3 +164,12 @@ def test_all_columns_of_contracts(spark):
     for name, want in shape.items():
         df = QUERIES[name](spark, SF)
         assert [f"{c} {k}" for c, k in df.dtypes] == want.split(", "), name
+
+
+def test_a_key_phrase_is_found_whatever_the_counts():
+    for rare in (["released", "license"], ["mit", "license"], ["under", "the"], ["released"], []):
+        counts = {w: 0 if w.decode() in rare else 50 for w in license_scan.Index().vocabulary}
+        index = license_scan.Index(frequency=counts, files=100)
+        for t in license_scan.TEMPLATES:
+            for key in t.keys:
+                assert t.label in {m[2] for m in index.scan(f"some words {key} and more")["matches"]}, (rare, t.label)
