@@ -3,8 +3,10 @@
 The template texts are indexed by word: each word's postings are (template, position).  A pass
 over the corpus counts in how many files each licence word stands, which gives its IDF.  A file's
 highest-IDF licence words are looked up first; the postings of a word at place p vote for the
-template start p - position, and starts that several words agree on are verified against the
-template's mandatory key phrases and scored by the share of its words found in place.
+template start p - position, and starts that several words agree on are verified: the template's
+mandatory key phrases must stand at their places behind the start.  A verified start is scored by the
+share of the template's words found in place.  Since the two rarest words of every key phrase are
+always looked up, a start is verified wherever the key phrases stand.
 """
 
 from __future__ import annotations
@@ -83,7 +85,13 @@ class Index:
     """Positional postings of the template words; ``frequency`` is their document frequency."""
 
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES, frequency: dict[bytes, int] | None = None, files: int = 0):
-        self.templates = [(t.label, words_of(t.text), [words_of(k) for k in t.keys]) for t in templates]
+        self.templates = []
+        for t in templates:
+            words, keys = words_of(t.text), [words_of(k) for k in t.keys]
+            spots = [next((i for i in range(len(words)) if words[i : i + len(k)] == k), None) for k in keys]
+            if not keys or None in spots or any(len(set(k)) < 2 for k in keys):
+                raise ValueError(f"a key phrase has two words or more and stands in its template: {t.label}")
+            self.templates.append((t.label, words, list(zip(spots, keys))))
         self.base = [(label, words_of(p)) for p, label in base.items()]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words, _) in enumerate(self.templates):
@@ -95,7 +103,7 @@ class Index:
         # A template is looked for by its rarest words, in as many as its key phrases have at least, and
         # by the two rarest of each key phrase, so that a file with a key phrase always has two votes.
         rarest = lambda words, n: set(sorted(set(words), key=lambda w: (-self.idf[w], w))[:n])
-        self.rare = [rarest(words, max(2, len(keys[0]) // 2)).union(*(rarest(k, 2) for k in keys)) for _, words, keys in self.templates]
+        self.rare = [rarest(words, max(2, len(keys[0][1]) // 2)).union(*(rarest(k, 2) for _, k in keys)) for _, words, keys in self.templates]
         self.anchor = [(label, p, min(range(len(p)), key=lambda i: (-self.idf[p[i]], i))) for label, p in self.base]
         self.wanted = set().union(*self.rare) | {p[i] for _, p, i in self.anchor}
 
@@ -129,10 +137,7 @@ class Index:
         best, matches = 0.0, []
         for (k, start), n in votes.items():
             label, template, keys = self.templates[k]
-            if n < min(2, len(self.rare[k])):
-                continue
-            window = words[max(0, start) : start + len(template)]
-            if not all(any(window[i : i + len(key)] == key for i in range(len(window))) for key in keys):
+            if n < 2 or not all(start + i >= 0 and words[start + i : start + i + len(key)] == key for i, key in keys):
                 continue
             hit = sum(1 for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w)
             best = max(best, hit / len(template))
@@ -166,8 +171,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id") -
 
     ``score`` is the best template's share of words in place, 0.5 where only a base phrase stands,
     else 0.  ``spans`` lists the verified templates as (first word, word after the last, label).
-    Null and empty texts have no words, no labels ('') and score 0; repeated rows are scanned each
-    for itself; an empty table gives an empty table; other columns are ignored.
+    A span may begin before the text (a negative start) or end behind it where only part of a template
+    stands there.  Null and empty texts have no words, no labels ('') and score 0; rows of a null or
+    repeated id are scanned each for itself; an empty table gives an empty table; other columns are
+    ignored.
     """
     small_batches(docs.sparkSession)
     frequency, files = licence_word_counts(docs, Index(templates))

@@ -61,7 +61,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op4_quality, op5_embed_dup, op6_mixing, op7_lm_score, op8_license_scan, op9_top_k, op10_token_count)
 }
 
+_TEMPLATES_SQL = ",\n          ".join(f"('{t.label}', '{t.text}', '{k}')" for t in license_scan.TEMPLATES for k in t.keys)
+_PHRASES_SQL = ", ".join(f"('{label}', '{phrase}')" for phrase, label in license_scan.BASE_PHRASES.items())
+
 ORACLE_SQL: dict[str, str] = {
+    # Every template has one key phrase: its places are the starts that the index must find.
+    "op8_license_scan": rf"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        tokens AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+        b(label, phrase) AS (SELECT label, string_split(phrase, ' ') FROM (VALUES {_PHRASES_SQL}) v(label, phrase)),
+        base AS (
+          SELECT r, label, i - 1 AS place FROM tokens JOIN b ON x = phrase[1] JOIN d USING (r) WHERE w[i:i + len(phrase) - 1] = phrase),
+        t(label, template, key) AS (
+          SELECT label, string_split(template, ' '), string_split(key, ' ') FROM (VALUES
+          {_TEMPLATES_SQL}) v(label, template, key)),
+        o AS (
+          SELECT *, list_filter(range(1, len(template) + 1), lambda i: template[i:i + len(key) - 1] = key)[1] AS spot FROM t),
+        found AS (
+          SELECT r, label, template, i - spot AS before FROM tokens JOIN o ON x = key[1] JOIN d USING (r) WHERE w[i:i + len(key) - 1] = key),
+        hits AS (
+          SELECT r, label, len(list_filter(range(1, len(template) + 1), lambda i: before + i >= 1 AND w[greatest(before + i, 1)] = template[i])) / len(template)::DOUBLE AS share
+          FROM found JOIN d USING (r)),
+        gb AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+        gh AS (SELECT r, max(share) AS share FROM hits GROUP BY r),
+        gl AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM hits) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+          coalesce(gb.labels, '') AS base_labels, coalesce(gl.labels, '') AS labels, coalesce(share, CASE WHEN n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+        FROM d LEFT JOIN gb USING (r) LEFT JOIN gh USING (r) LEFT JOIN gl USING (r)
+    """,
     "op1_chat_format": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -173,3 +174,49 @@ def test_a_key_phrase_is_found_whatever_the_counts():
         for t in license_scan.TEMPLATES:
             for key in t.keys:
                 assert t.label in {m[2] for m in index.scan(f"some words {key} and more")["matches"]}, (rare, t.label)
+
+
+def test_license_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(4)
+    bits = [t.text for t in license_scan.TEMPLATES] + [k for t in license_scan.TEMPLATES for k in t.keys] + ["mit license", "cc by", "under the", "x", "version", "2 0"]
+
+    def made():
+        words = " ".join(rng.choice(bits) for _ in range(rng.randrange(6))).split()
+        for _ in range(rng.randrange(4)):
+            if words:
+                words[rng.randrange(len(words))] = rng.choice(["the", "x", "license", "by"])
+        return " ".join(words[rng.randrange(3) :])
+
+    texts = [made() for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, texts[6]), (None, texts[7]), (None, None)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def brute(text):
+        words = (text or "").split()
+        labels, score = set(filter(None, brute_base(text)[4].split(","))), 0.0
+        if labels:
+            score = 0.5
+        shares = []
+        for t in license_scan.TEMPLATES:
+            whole, key = t.text.split(), t.keys[0].split()
+            at = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+            for p in range(len(words)):
+                if words[p : p + len(key)] == key:
+                    labels.add(t.label)
+                    shares.append(sum(0 <= p - at + i < len(words) and words[p - at + i] == w for i, w in enumerate(whole)) / len(whole))
+        return ",".join(sorted(labels)), max(shares, default=score)
+
+    assert sorted((str(r.doc_id), r.labels, r.score) for r in got.collect()) == sorted((str(d), *brute(t)) for d, t in rows)
+
+
+def test_license_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["op8_license_scan"]).df()
+    got = QUERIES["op8_license_scan"](spark, SF).toPandas()
+
+    def rows(d):
+        shown = lambda v: v if isinstance(v, str) else None if pd.isna(v) else float(v)
+        return sorted(str([shown(v) for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
+
+    assert rows(got) == rows(want)
