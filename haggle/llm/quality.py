@@ -44,11 +44,8 @@ LABELLERS = (
     ("few_words", 1),
     ("table_cells", 1),
     ("cell_lines", 1),
-    ("insult", 2),
     ("insults", 2),
-    ("insult_share", 2),
     ("lexicon", 2),
-    ("lexicon_share", 2),
 )
 #: A lexicon word stands in so many toxic sample documents at least, so many times as often as in clean ones.
 LEXICON_LEAST, LEXICON_RATIO = 5, 20
@@ -63,7 +60,7 @@ def style(text: str) -> tuple[list[float], list[bytes], int]:
     n, size = max(1, len(spaced)), max(1, len(raw))
     upper, lower = (len(raw) - len(raw.translate(None, c)) for c in (UPPER, LOWER))
     measures = [
-        (size - len(raw.translate(None, SYMBOLS))) / size,
+        (len(raw) - len(raw.translate(None, SYMBOLS))) / size,
         sum(w[-2:] in (b"!!", b"##", b"$$", b"%%", b"&&", b"**") for w in spaced) / n,
         upper / max(20, upper + lower),
         raw.count(b"!!") / n,
@@ -81,10 +78,10 @@ LIMITS = (0.05, 0.2, 0.4, 0.2, 0.15, 0.75, 0.15, 0.2)
 
 def votes(measures: list[float], words: list[bytes], insults: int, lexicon: frozenset[bytes]) -> int:
     """Which labellers speak, as bits."""
+    # One insult or lexicon word may be chance.  No labeller implies another: what one fact makes
+    # several of them say, expectation-maximisation would count as several facts.
     known = len(lexicon.intersection(words)) if lexicon else 0
-    fired = [m > limit for m, limit in zip(measures, LIMITS)]
-    fired += [insults > 0, insults > 1, insults > 0.005 * max(1, len(words))]
-    fired += [known > 1, known > 0.01 * max(1, len(words))]
+    fired = [*(m > limit for m, limit in zip(measures, LIMITS)), insults > 1, known > 1]
     return sum(1 << i for i, f in enumerate(fired) if f)
 
 
@@ -119,26 +116,32 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     return share, rate, post
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, sparsity: float = 2e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights of a logistic model with an L1 penalty, by accelerated proximal gradient steps."""
+def fit_linear(
+    rows: list[np.ndarray], target: np.ndarray, copies: np.ndarray | None = None, sparsity: float = 2e-4, rounds: int = 200
+) -> tuple[np.ndarray, float]:
+    """Weights of a logistic model with an L1 penalty, by accelerated proximal gradient steps.
+
+    Row i has the features ``rows[i]`` and counts ``copies[i]`` times."""
     n = len(rows)
+    copies = np.ones(n) if copies is None else np.asarray(copies, float)
+    total = max(1.0, copies.sum())
     at = np.concatenate(rows) if n else np.empty(0, np.int32)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     # The gradient of a feature of so few documents never exceeds the penalty: its weight is 0.
-    likely = np.bincount(at, minlength=FEATURES)[at] > sparsity * n
+    likely = np.bincount(at, weights=copies[owner], minlength=FEATURES)[at] > sparsity * total
     at, owner = at[likely], owner[likely]
     used, index = np.unique(at, return_inverse=True)
     w = np.zeros(len(used) + 1)
-    v, momentum, rate = w.copy(), 1.0, 4.0 / max(1.0, len(at) / max(1, n))
-    mean = lambda p: np.append(np.bincount(index, weights=p[owner], minlength=len(used)), p.sum()) / max(1, n)
+    v, momentum, rate = w.copy(), 1.0, 4.0 / max(1.0, copies[owner].sum() / total)
+    mean = lambda p: np.append(np.bincount(index, weights=p[owner], minlength=len(used)), p.sum()) / total
 
     def loss(w):
         z = np.bincount(owner, weights=w[index], minlength=n) + w[-1]
-        return np.mean(np.logaddexp(0, z) - target * z) if n else 0.0, z
+        return float(copies @ (np.logaddexp(0, z) - target * z)) / total, z
 
     for _ in range(rounds):
         f, z = loss(v)
-        g = mean(1 / (1 + np.exp(-z)) - target)
+        g = mean(copies * (1 / (1 + np.exp(-z)) - target))
         while True:
             new = v - rate * g
             new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * sparsity, 0)
@@ -204,9 +207,25 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame, label_rows: int) -> frozens
     return frozenset(w for w, (t, c) in texts.items() if t / (n_toxic + 1) >= LEXICON_RATIO * (c + 0.5) / (n_clean + 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 6000, label_rows: int = 12000) -> QualityModel:
-    """Votes of all documents give the posteriors; about ``train_rows`` documents, picked by a hash
-    of the text, train the scorer, and about ``label_rows`` labels (doc_id, quality, toxic) the lexicon."""
+def sampled(docs: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
+    """``text, copies``: about ``rows`` distinct rows (id, text) picked by their hash, or all of fewer."""
+    named = docs.select(F.xxhash64(F.col(id_col), "text", F.lit("sample")).alias("h"), "text")
+    distinct = named.agg(F.approx_count_distinct("h")).first()[0]
+    # The count is within a tenth or so.
+    share = 1.0 if distinct <= 0.8 * rows else min(1.0, rows / distinct)
+    picked = named.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return picked.groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "copies")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 6000, label_rows: int = 12000, id_col: str = "doc_id") -> QualityModel:
+    """Votes of all documents give the posteriors; about ``train_rows`` documents train the scorer,
+    and about ``label_rows`` labels (doc_id, quality, toxic) the lexicon.
+
+    Documents are picked by a hash of id and text, so copies of a text under other ids come in one by
+    one, in proportion.  Rows of one id and one text are one row of the sample with their number as its
+    weight, however many there are: what comes to the driver is bounded.  Where the table has fewer
+    distinct rows than ``train_rows``, all are picked.
+    """
     small_batches(docs.sparkSession)
     lexicon = frozenset() if labels is None else mine_lexicon(docs, labels, label_rows)
 
@@ -220,19 +239,19 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 6000
     patterns, counts = (np.array([r[i] for r in counted]) for i in (0, 1))
     _, rate, post = estimate(patterns, counts)
     posterior = {int(p): float(1 - q[0]) for p, q in zip(patterns, post)}
-    share = min(1.0, train_rows / counts.sum())
 
     def sample():
         def step(batch):
             out = [style(v.as_py() or "") for v in batch.column(0)]
-            return {"pattern": [votes(*x, lexicon) for x in out], "at": [features(m, w) for m, w, _ in out]}
+            return {"pattern": [votes(*x, lexicon) for x in out], "at": [features(m, w) for m, w, _ in out], "copies": batch.column(1)}
 
         return step
 
-    picked = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = map_arrow(picked.select("text"), sample, "pattern int, at array<int>").collect()
-    rows.sort(key=lambda r: (r["pattern"], r["at"]))  # the order of arrival is not fixed
-    weight, bias = fit_linear([np.array(r["at"], np.int32) for r in rows], np.array([posterior[r["pattern"]] for r in rows]))
+    rows = map_arrow(sampled(docs, train_rows, id_col), sample, "pattern int, at array<int>, copies bigint").collect()
+    rows.sort(key=lambda r: (r["pattern"], r["at"], r["copies"]))  # the order of arrival is not fixed
+    weight, bias = fit_linear(
+        [np.array(r["at"], np.int32) for r in rows], np.array([posterior[r["pattern"]] for r in rows]), np.array([r["copies"] for r in rows])
+    )
     at = np.flatnonzero(weight)
     rates = {name: dict(zip(CLASSES, map(float, rate[:, i]))) for i, (name, _) in enumerate(LABELLERS)}
     return QualityModel(posterior, at, weight[at], bias, rates, lexicon)
@@ -256,10 +275,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, limit: floa
     """Rows ``id_col, labellers, posterior, score, kept``: the chance of being junk or toxic, by the
     labellers that spoke and by the scorer; ``kept`` if both are under ``limit``.
 
-    Null and empty texts have no features and get the score of the bias; repeated rows are scored
-    each for itself; an empty table gives an empty table; other columns are ignored.
+    Null and empty texts have no words and no style: no labeller speaks, no feature is present, and
+    their score is that of the bias.  Repeated rows and rows of a null id are scored each for itself; an
+    empty table gives an empty table; other columns are ignored.
     """
-    model = fit(docs, labels, train_rows)
+    model = fit(docs, labels, train_rows, id_col=id_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
