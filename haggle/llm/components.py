@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: A key with this share of all rows or more is a heavy one, so there are at most as many as its inverse.
+HEAVY = 1000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that ``right`` has once, with the number ``n`` of its rows in ``left``.
+
+    Rows of heavy keys stay where they are and get their partner by broadcast, at most ``HEAVY`` rows
+    whatever the size of the data; all others are joined by shuffle.  So a key of many rows gathers in
+    no task.
+    """
+    right = cut(right)
+    bound = (right.agg(F.sum("n")).first()[0] or 0) / HEAVY
+    heavy, light = right.where(F.col("n") >= bound).drop("n"), right.where(F.col("n") < bound).drop("n")
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return left.join(F.broadcast(heavy), key).unionByName(rest)
+
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

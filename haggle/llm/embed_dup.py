@@ -6,10 +6,12 @@ Several tables are drawn so that a pair at the threshold misses all of them with
 ``MISS``.  The number of projections grows with the logarithm of the number of distinct vectors,
 which keeps the mean bucket at a fixed size.
 
-Equal vectors are one node.  In a bucket all pairs are checked by one matrix product; large
-buckets are dealt out as pairs of blocks.  A pair that meets in several tables counts in the
-first one only, so links are counted without listing them, and a bucket sends on just one link
-for each node towards its group, which is all that components need.
+Equal vectors are one node.  Buckets are found from codes alone; only nodes with a neighbour in some
+bucket bring their vectors.  In a bucket all pairs are checked by one matrix product, and those close
+to the threshold once more in a fixed order of summation; large buckets are dealt out as pairs of
+blocks.  A pair that meets in several tables counts in the first one only, so links are counted
+without listing them, and a bucket sends on just one link for each node towards its group, which is
+all that components need.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small_batches
-from .components import components, groups
+from .components import components, keyed_join
 
 WIDTH = 2.0
 MISS = 1e-4
@@ -47,6 +49,88 @@ def plan(vectors: int, threshold: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log(1 - near**k))
 
 
+#: What names a bucket's pair of blocks.
+KEY = ("table", "code", "low", "high")
+
+
+def _buckets(batches):
+    """``key, mine, node, (vector bytes, offsets), copies, codes`` of each pair of blocks, from batches of rows
+    sorted by ``KEY`` with columns mine, node, vector, copies, codes behind it."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+
+    def whole():
+        g = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: g.column(name).chunk(0)
+        v = column("vector")
+        offsets = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+        codes = column("codes").flatten()
+        return (
+            held_key, np.asarray(column("mine")), column("node"), (v.buffers()[2], offsets), np.asarray(column("copies")),
+            np.asarray(codes).reshape(len(v), -1),
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(i)) for i in range(len(KEY))], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            own = tuple(keys[a].tolist())
+            if held and own != held_key:
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+            held_key = own
+    if held:
+        yield whole()
+
+
+#: Products this close to the threshold are summed up once more.
+CLOSE = 1e-9
+PAIRS_AT_ONCE = 1 << 16
+
+
+def _links(x: np.ndarray, mine: np.ndarray, copies: np.ndarray, codes: np.ndarray, cross: bool, threshold: float):
+    """Rows ``a, b, links``: each row with a link, one row of its group, and the copies it is linked to and
+    that no table before has counted.  With ``cross`` only pairs of different blocks are looked at."""
+    if cross:
+        rows, columns = np.flatnonzero(mine == mine.min()), np.flatnonzero(mine != mine.min())
+    else:
+        rows = columns = np.arange(len(x))
+    product = x[rows] @ x[columns].T
+    near = product >= threshold - CLOSE
+    if not cross:
+        near = np.triu(near, 1)
+    a, b = np.nonzero(near)
+    unsure = np.flatnonzero(product[a, b] < threshold + CLOSE)
+    a, b = rows[a], columns[b]
+    good = np.ones(len(a), bool)
+    for i in range(0, len(unsure), PAIRS_AT_ONCE):
+        at = unsure[i : i + PAIRS_AT_ONCE]
+        good[at] = np.einsum("ij,ij->i", x[a[at]], x[b[at]]) >= threshold
+    a, b = a[good], b[good]
+    if not len(a):
+        return None
+    links = np.zeros(len(x), np.int64)
+    for i in range(0, len(a), PAIRS_AT_ONCE):
+        p, q = a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]
+        fresh = ~(codes[p] == codes[q]).any(axis=1)
+        np.add.at(links, p[fresh], copies[q[fresh]])
+        np.add.at(links, q[fresh], copies[p[fresh]])
+    root = np.arange(len(x))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    told = np.flatnonzero((links > 0) | (root != np.arange(len(x))))
+    return told, root[told], links[told]
+
+
 def unit_rows(values: list) -> tuple[np.ndarray, list[int]]:
     """Unit vectors of the usable entries of one length, in double precision."""
     x = np.array(values, np.float64)
@@ -73,8 +157,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     empty table gives an empty table; other columns are ignored.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 4096)
     kind = vectors.schema[id_col].dataType.simpleString()
+    # Vectors travel as they are stored; they are worked on in double precision.
+    held = np.dtype(np.float32 if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else np.float64)
 
     def name():
         def step(batch):
@@ -83,7 +169,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             return {
                 "id": batch.column(0),
                 "node": [_node(v) if ok else None for v, ok in zip(values, good)],
-                "vector": [np.array(v, np.float64).tobytes() if ok else None for v, ok in zip(values, good)],
+                "vector": [np.array(v, held).tobytes() if ok else None for v, ok in zip(values, good)],
             }
 
         return step
@@ -102,14 +188,14 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         def step(batch):
             raw = batch.column(1).to_pylist()
             codes: list = [None] * len(raw)
-            lengths = np.array([len(x) // 8 for x in raw])
+            lengths = np.array([len(x) // held.itemsize for x in raw])
             for d in np.unique(lengths):
                 if d not in made:
                     rng = np.random.default_rng([seed, int(d)])
                     made[d] = rng.standard_normal((d, tables * k)), rng.uniform(0, WIDTH, tables * k)
                 at = np.flatnonzero(lengths == d)
                 direction, shift = made[d]
-                x = unit_rows([np.frombuffer(raw[i], np.float64) for i in at])
+                x = unit_rows([np.frombuffer(raw[i], held) for i in at])
                 cell = np.floor((x @ direction + shift) / WIDTH).astype(np.int64).reshape(len(at), tables, k)
                 mixer = np.random.default_rng([seed, 1]).integers(1, 1 << 62, k) | 1
                 code = ((cell * mixer).sum(axis=2) ^ (int(d) * 0x9E3779B1)) & 0x7FFFFFFFFFFFFFFF
@@ -131,74 +217,34 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("node", "table", "code", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
         .join(sketched.select("node", "vector", "copies", "codes"), "node")
-        .select(
-            F.concat_ws("/", "table", "code", "low", "high").alias("key"), "table", "node", "vector", "copies", "codes", "mine"
-        )
+        # Tables before this one: a pair that met there has been counted.
+        .select(*KEY, "mine", "node", "vector", "copies", F.slice("codes", F.lit(1), F.col("table")).alias("codes"))
     )
 
     def run(batches):
-        for g in groups(batches, "key"):
-            if g.num_rows < 2:
-                continue
-            order = np.array(sorted(range(g.num_rows), key=g.column("node").to_pylist().__getitem__))
-            raw = g.column("vector").to_pylist()
-            lengths = np.array([len(x) for x in raw])
-            at_table = g.column("table")[0].as_py()
+        for own, mine, node, vectors, copies, codes in _buckets(batches):
+            lengths = np.diff(vectors[1])
             for d in np.unique(lengths):
-                own = order[lengths[order] == d]
-                nodes = g.column("node").take(pa.array(own)).to_pylist()
-                x = unit_rows([np.frombuffer(raw[i], np.float64) for i in own])
-                copies = np.asarray(g.column("copies").take(pa.array(own)))
-                codes = np.array(g.column("codes").take(pa.array(own)).to_pylist(), np.int32).reshape(len(own), -1)
-                mine = np.asarray(g.column("mine").take(pa.array(own)))
-                near = x @ x.T >= threshold - 1e-9
-                np.fill_diagonal(near, False)
-                if len(np.unique(mine)) > 1:
-                    near &= mine[:, None] != mine[None, :]
-                a, b = np.nonzero(np.triu(near))
-                exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                a, b = a[exact], b[exact]
-                links = np.zeros(len(own), np.int64)
-                for i in range(0, len(a), 65536):
-                    p, q = a[i : i + 65536], b[i : i + 65536]
-                    fresh = ~(codes[p, :at_table] == codes[q, :at_table]).any(axis=1)
-                    np.add.at(links, p[fresh], copies[q[fresh]])
-                    np.add.at(links, q[fresh], copies[p[fresh]])
-                root = np.arange(len(own))
-                while len(a):
-                    before = root.copy()
-                    low = np.minimum(root[a], root[b])
-                    np.minimum.at(root, a, low)
-                    np.minimum.at(root, b, low)
-                    root = root[root]
-                    if (root == before).all():
-                        break
-                told = np.flatnonzero((links > 0) | (root != np.arange(len(own))))
-                if len(told):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([nodes[i] for i in told], pa.binary()),
-                            pa.array([nodes[root[i]] for i in told], pa.binary()),
-                            pa.array(links[told]),
-                        ],
-                        ["a", "b", "links"],
-                    )
-
-    found = cut(
-        dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary, links bigint")
-    )
+                at = np.flatnonzero(lengths == d)
+                if len(at) > 1:
+                    flat = np.frombuffer(vectors[0], np.uint8)
+                    x = unit_rows(np.stack([flat[vectors[1][i] : vectors[1][i + 1]] for i in at]).view(held))
+                    told = _links(x, mine[at], copies[at], codes[at], own[2] != own[3], threshold)
+                    if told is not None:
+                        a, b, links = told
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(at[a])), node.take(pa.array(at[b])), pa.array(links)], ["a", "b", "links"])
+
+    found = cut(dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "a binary, b binary, links bigint"))
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    placed = cut(
-        rows.select("id", "node", "row")
-        .join(distinct.select("node", "copies"), "node", "left")
-        .join(links, "node", "left")
-        .join(roots, "node", "left")
-        .withColumn("class", F.when(F.col("node").isNull(), F.col("row").cast("string").cast("binary")).otherwise(F.coalesce("root", "node")))
-        .withColumn("n_links", F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
+    facts = distinct.select("node", F.col("copies").alias("n")).join(links, "node", "left").join(roots, "node", "left").select(
+        "node", "n", F.coalesce("root", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
     )
-    heads = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("head"))
-    return placed.join(heads, "class").select(
+    linked = keyed_join(rows.where("node is not null").select("id", "node", "row"), facts, "node").select("id", "row", "class", "n_links")
+    alone = rows.where("node is null").select("id", "row", F.col("row").cast("string").cast("binary").alias("class"), F.lit(0).cast("bigint").alias("n_links"))
+    placed = cut(linked.unionByName(alone))
+    heads = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("head"), F.count("*").alias("n"))
+    return keyed_join(placed, heads, "class").select(
         F.col("id").alias(id_col),
         F.col("n_links").cast("bigint").alias("n_links"),
         F.col("head.id").alias("component_id"),

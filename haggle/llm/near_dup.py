@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small_batches
-from .components import components, groups
+from .components import components, groups, keyed_join
 from .words import BASE, GOLDEN, TO_LOWER, U, mix, shingles
 
 BANDS, ROWS = 28, 5
@@ -189,11 +189,11 @@ def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roo
         rooted.groupBy("bucket")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
         .where("r0 <> r1")
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     slots = sketched.select("node", "slots").dropDuplicates(["node"])
     rows = (
-        rooted.join(open_buckets, "bucket")
+        keyed_join(rooted, open_buckets, "bucket")
         .join(slots, "node")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -258,11 +258,9 @@ def classes(docs: DataFrame, threshold: float, width: int, id_col: str) -> DataF
     filled = sketched.where("not empty")
     distinct = filled.groupBy("node").agg(F.first("bands").alias("bands"))
     banded = distinct.select("node", F.explode("bands").alias("bucket"))
-    in_bucket = Window.partitionBy("bucket")
     # A bucket of one node is done; of the others the smallest node is the pivot.
-    members = cut(
-        banded.withColumn("a", F.min("node").over(in_bucket)).withColumn("z", F.max("node").over(in_bucket)).where("a <> z").drop("z")
-    )
+    pivots = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").drop("z")
+    members = cut(keyed_join(banded, pivots, "bucket"))
     pairs = cut(members.where("a <> node").select("a", F.col("node").alias("b")).distinct())
     links = cut(verified(named, pairs, threshold, width))
     roots = cut(components(links))
@@ -270,14 +268,15 @@ def classes(docs: DataFrame, threshold: float, width: int, id_col: str) -> DataF
     if not more.isEmpty():
         roots = cut(components(links.union(more)))
     # Rows without shingles get a class each; a copy's class is found through its node.
-    placed = sketched.select("id", "node", "empty").withColumn("row", F.monotonically_increasing_id())
-    placed = placed.join(roots, "node", "left").withColumn(
-        "class", F.when(F.col("empty"), F.col("row").cast("string").cast("binary")).otherwise(F.coalesce("root", "node"))
-    )
+    rows = sketched.select("id", "node", "empty").withColumn("row", F.monotonically_increasing_id())
+    filled_rows = rows.where("not empty")
+    facts = filled_rows.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class"))
+    alone = rows.where("empty").withColumn("class", F.col("row").cast("string").cast("binary"))
+    placed = keyed_join(filled_rows, facts, "node").unionByName(alone)
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     placed = cut(placed)
-    heads = placed.groupBy("class").agg(F.min(first).alias("head"))
-    return placed.join(heads, "class").select(
+    heads = placed.groupBy("class").agg(F.min(first).alias("head"), F.count("*").alias("n"))
+    return keyed_join(placed, heads, "class").select(
         "id", "node", "empty", F.col("head.id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept")
     )
 
@@ -307,9 +306,11 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = packed.mapInArrow(name, f"d {packed.schema['d'].dataType.simpleString()}, id {kind}, node binary")
-    # Rows of one id and one text are told apart by nothing, so the first of them stays.
+    # Rows of one id and one text are told apart by nothing, so the first of them stays.  Copies of a
+    # text under other ids meet in no task, since the id is part of the key.
     same = Window.partitionBy("node", "id").orderBy("id")
-    found = named.join(kept.where("not empty").select(F.col("node"), F.col("id").alias("kept_id")).distinct(), "node").where(F.col("id").eqNullSafe(F.col("kept_id")))
+    heads = kept.where("not empty").select("node", "id").distinct()
+    found = named.join(heads, (named["node"] == heads["node"]) & named["id"].eqNullSafe(heads["id"]), "left_semi")
     one = found.withColumn("n", F.row_number().over(same)).where("n = 1").select("d")
     without = docs.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")) == "")
     return one.select(*(F.col("d").getField(c).alias(c) for c in docs.columns)).union(without)

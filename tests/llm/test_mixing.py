@@ -65,6 +65,13 @@ def test_every_document_has_one_position(spark, monkeypatch):
     for places in per.values():
         assert len({s for s, _ in places}) == 1
         assert sorted(p for _, p in places) == list(range(len(places)))
+    # The whole schedule, slot after slot, from the blocks that the sources have.
+    number = {src: 1 + max(b for s, b in per if s == src) for src in ("a", "b", None)}
+    names, weights = {"a": "+a", "b": "+b", None: "-"}, {"+a": 3, "+b": 2, "-": 1}
+    stream = by_hand({names[s]: n for s, n in number.items()}, weights)
+    assert {(names[r.source], r.block): r.slot for r in got} == {(s, b): i for i, (s, b) in enumerate(stream)}
+    # Positions follow slots and places, and inside a source blocks follow the hash of id and text.
+    assert [r.position for r in sorted(got, key=lambda r: (r.slot, r.place))] == list(range(len(rows)))
     kept = mixing.mix(docs, {"a": 3, "b": 2}, block=4, keep=True).collect()
     want = [(r.doc_id, r.source) for r in sorted(got, key=lambda r: r.position)]
     assert [(r.doc_id, r.source) for r in kept] == want

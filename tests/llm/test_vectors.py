@@ -84,3 +84,51 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
             s = sorted((-sum(a * b for a, b in zip(ints[q], w)), i) for i, w in ints.items() if i != q)[:7]
             want[q] = [(n + 1, i, -x) for n, (x, i) in enumerate(s)]
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def brute_top(data, k, every):
+    """``data``: (id, vector); repeated rows each for themselves."""
+    ints = [(i, [math.floor(64 * c) if abs(c) < 1e300 else 64 * int(c) for c in v]) for i, v in data if good(v) and i is not None]
+    clip = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+    out = {}
+    for q, v in ints:
+        if q % every == 0:
+            s = sorted((-clip(sum(a * b for a, b in zip(v, w))), i) for i, w in ints if i != q)[:k]
+            out[q, tuple(v)] = [(n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    return sorted(x for rows in out.values() for x in rows)
+
+
+def test_top_k_of_large_components_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 16)
+    monkeypatch.setattr(top_k, "LEAF", 4)
+    monkeypatch.setattr(top_k, "NEAR", 2)
+    rng = np.random.default_rng(8)
+    data = [(i, rng.standard_normal(5).tolist()) for i in range(140)]
+    data += [(3, [1.0] * 5), (4, [1.0] * 5), (4, [1.0] * 5), (8, [2.0, 1.0]), (None, [9.0] * 5), (150, []), (151, None)]
+    data += [(160 + i, [float(f"{rng.standard_normal():.3f}") * 10.0 ** int(rng.integers(3, 15)) for _ in range(5)]) for i in range(24)]
+    data += [(200, [1e305, -1.0]), (201, [-1e305, 2.0]), (204, [20000.0, 1.0]), (208, [1.0, 20000.0])]
+    got = top_k.top_k(spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, x string"), k=6, every=4).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == brute_top(data, 6, 4)
+    none = spark.createDataFrame([(1, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")
+    assert top_k.top_k(none).count() == 0
+
+
+def test_all_vectors_equal(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 8)
+    monkeypatch.setattr(embed_dup, "BLOCK", 4)
+    data = [(i, [0.5, 0.25]) for i in range(50)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = top_k.top_k(df, k=5, every=10).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == brute_top(data, 5, 10)
+    linked = embed_dup.link_vectors(df).collect()
+    assert {(r.n_links, r.component_id) for r in linked} == {(49, 0)} and sum(r.kept for r in linked) == 1
+
+
+def test_a_large_cluster_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "BLOCK", 64)
+    monkeypatch.setattr(embed_dup, "PAIRS_AT_ONCE", 100)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(16)
+    data = [(i, (base + 0.05 * rng.standard_normal(16)).tolist(), 0, 0) for i in range(300)]
+    got = embed_dup.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, x int, y int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_links(data)
