@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haggle.extract import frames
@@ -14,27 +12,14 @@ from haggle.functions import urls as U
 from haggle.operators import filters, reduce, summary
 from haggle.plans import views
 from haggle.plans.crawl import crawl_products
+from haggle.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
 from haggle.plans.views import FRAGMENTS_SQL, KEYS, LISTING_SQL, NEWEST_SQL, RUNS_SQL, URLS_SQL
 from haggle.sources.registry import search_url, sources_frame
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 SHOWN = (*KEYS, "product_name", "category", "price", "shipping_fee", "seller", "platform", "product_url", "collected_at", "data_source")
 SHOWN_SQL = ", ".join(SHOWN)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- store -------------------------------------------------------------------------------------------
 
 
@@ -575,8 +560,4 @@ def json_walk(spark, sf):
     return frames.json_nodes(rows, "json").select("event_id", "ord", "node")
 
 
-@query()
-def selector_discovery(spark, sf):
-    found = frames.discovered(_pages(spark, sf)).select("page_id", F.posexplode("hits").alias("ord", "h")).select("page_id", "ord", "h.*")
-    return summary.selector_ranking(found)
-
+from haggle import queries_pages  # noqa: E402, F401
