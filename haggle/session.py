@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,29 @@ def local_session(name: str = "haggle", cores: int | str = "*", shuffle_partitio
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate data, deleted when the application ends, in the place the cluster names
+    in ``spark.checkpoint.dir`` (or in the checkpoint folder already set).
+
+    A folder of the machine serves only where driver and executors are one process; elsewhere no name is
+    an error, since executors would not see each other's files."""
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="haggle-")
+        delete_at_end(spark, root)
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    return folder
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def spread(df):
     """A scan of fewer parts than half the cores is dealt out anew, so that one large row group
     does not keep a whole pipeline on one core.  Only for plain scans."""
