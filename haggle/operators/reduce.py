@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haggle.functions.price import parse_price
-from haggle.functions.text import clean_name, condition_of, let, name_parts, name_score, query_terms, squash
+from haggle.functions.names import names
+from haggle.functions.text import condition_of, let, name_score, query_terms, squash
 from haggle.functions.urls import absolute_url, first_parameter, identity, part, unescape_html
 
 
@@ -26,10 +27,25 @@ def keep_first_unless_null(df: DataFrame, key: str, order: list) -> DataFrame:
     return ranked.where(F.col(key).isNull() | (F.col("_rank") == 1)).drop("_rank")
 
 
-def top_n(df: DataFrame, keys: list, order: list, n: int | Column) -> DataFrame:
-    """The first ``n`` rows of each key."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+#: Parts into which a key's rows are dealt before they are ranked together.
+DEALS = 64
+
+
+def top_n(df: DataFrame, keys: list, order: list, n: int | Column, rank: str = "_rank") -> DataFrame:
+    """The first ``n`` rows of each key, with their ``rank`` unless it is called ``_rank``.
+
+    A number limits each task before the exchange.  Spark makes no such group limit of a column, so with
+    one a key's rows are ranked in up to ``DEALS`` parts first, and only what each part lets through is
+    ranked together.
+    """
+    if isinstance(n, Column):
+        part = F.pmod(F.spark_partition_id(), F.lit(DEALS))
+        dealt = df.withColumn("_deal", part)
+        dealt = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_deal").orderBy(*order)))
+        df = dealt.where(F.col("_rank") <= n).drop("_rank", "_deal")
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = ranked.where(F.col(rank) <= n)
+    return kept.drop(rank) if rank == "_rank" else kept
 
 
 def with_identity(candidates: DataFrame, absolute: bool = False) -> DataFrame:
@@ -41,37 +57,28 @@ def with_identity(candidates: DataFrame, absolute: bool = False) -> DataFrame:
     return named.withColumn("identity", identity(F.col("url"), F.col("source"), F.col("product_identity_params")))
 
 
-def _best_name(rows: DataFrame, group: Window, only: Column) -> DataFrame:
-    """Each fragment's best name with its rank among equals: direct names before inferred ones,
-    then by fragment, then by place.  Inferred joined names lose two points once the group has
-    shown a direct name, in this fragment or before it.  Rows without ``only`` are not looked at."""
-    none = F.array().cast("array<struct<score:double,kind:int,part:int,place:int,name:string,joined:boolean>>")
-    # One expression over all texts: the three of them would make the plan three times as large.
-    text = lambda c, kind, part: F.struct(F.col(c).alias("t"), F.lit(kind).alias("kind"), F.lit(part).alias("part"))
-    texts = F.array(text("product_name", 1, 0), text("description", 0, 0), text("seller", 0, -1))
-    scored = F.flatten(
-        F.transform(
-            texts,
-            lambda x: F.transform(
-                F.coalesce(name_parts(squash(x["t"])), F.array().cast("array<struct<name:string,joined:boolean>>")),
-                lambda p, i: F.struct(
-                    name_score(p["name"], F.col("_terms")).alias("score"), x["kind"].alias("kind"), x["part"].alias("part"), (-i).alias("place"), p["name"].alias("name"),
-                    p["joined"].alias("joined"),
+def _best_name(texts: Column) -> Column:
+    """The best name in a group's texts: direct names before inferred ones, then by fragment, then by place.
+
+    Inferred joined names lose two points once the group has shown a direct name, in this fragment or
+    before it."""
+    direct = F.filter(texts, lambda t: (t["i"] == 0) & t["names"]["plain"]["name"].isNotNull())
+    shown = F.array_min(F.transform(direct, lambda t: t["ord"]))
+    named = F.filter(texts, lambda t: t["names"]["plain"]["name"].isNotNull())
+
+    def choose(first: Column) -> Column:
+        def one(t):
+            late = (t["i"] > 0) & F.coalesce(t["ord"] >= first, F.lit(False))
+            return let(
+                F.when(late, t["names"]["late"]).otherwise(t["names"]["plain"]),
+                lambda n: F.struct(
+                    n["score"].alias("score"), (t["i"] == 0).alias("direct"), (-t["ord"]).alias("row"), (t["i"] < 2).alias("part"), n["place"].alias("place"), n["name"].alias("name")
                 ),
-            ),
-        )
-    )
-    rows = rows.withColumn("_terms", query_terms(F.col("query"))).withColumn("_scored", F.when(only, F.filter(scored, lambda p: p["score"] > -50)).otherwise(none))
-    rows = rows.withColumn("_shown", F.min(F.when(F.exists("_scored", lambda p: p["kind"] == 1), F.col("ord"))).over(group))
-    late = F.coalesce(F.col("ord") >= F.col("_shown"), F.lit(False))
-    names = F.transform(
-        "_scored",
-        lambda p: F.struct(
-            (p["score"] - F.when((p["kind"] == 0) & p["joined"] & late, 2.0).otherwise(0.0)).alias("score"), p["kind"].alias("kind"), (-F.col("ord")).alias("row"),
-            p["part"].alias("part"), p["place"].alias("place"), p["name"].alias("name"),
-        ),
-    )
-    return rows.withColumn("_name", F.array_max(names)).drop("_scored", "_shown")
+            )
+
+        return F.array_max(F.transform(named, one))
+
+    return let(shown, choose)
 
 
 def _rewritten(url: Column, params: Column) -> Column:
@@ -81,58 +88,55 @@ def _rewritten(url: Column, params: Column) -> Column:
     return F.coalesce(keyed, url)
 
 
-def aggregate_group(rows: DataFrame, keys: list[str], again: bool = False) -> DataFrame:
+def aggregate_group(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One product of the fragments of each key.
 
     Best name; lowest price; canonical link before others; first image, seller and currency; condition
     by all texts; up to four further texts as description; the highest confidence plus the
-    name's score.  Groups without a usable name go.  With ``again`` the rows are products, and a
-    group of one (column ``_n``) stays as it is.
+    name's score.  Groups without a usable name go.
     """
+    said = [squash(F.col(c)) for c in ("product_name", "description", "seller")]
+    rows = rows.withColumns({f"_text{i}": t for i, t in enumerate(said)})
+    rows = rows.withColumns({f"_names{i}": names(F.col(f"_text{i}"), F.col("query")) for i in range(3)})
     # A group comes from one page's capped candidates, so its texts fit in a row.
-    only = F.col("_n") > 1 if again else F.lit(True)
-    rows = _best_name(rows, Window.partitionBy(*keys), only)
-    texts = F.array(*(F.struct(F.col("ord").alias("ord"), F.lit(i).alias("i"), squash(F.col(c)).alias("t")) for i, c in enumerate(("product_name", "description", "seller"))))
+    texts = F.array(
+        *(F.struct(F.col("ord").alias("ord"), F.lit(i).alias("i"), F.col(f"_text{i}").alias("t"), F.col(f"_names{i}").alias("names")) for i in range(3))
+    )
     price = F.coalesce(F.col("price"), parse_price(F.col("price_text")))
     image = squash(F.col("image_url"))
     image = F.when(~image.rlike(r"\A(?:data:|javascript:|#)"), image)
     canonical = (F.size("canonical_product_url_hints") > 0) & F.forall("canonical_product_url_hints", lambda h: F.contains(F.col("url"), h))
     first = lambda value, order=F.col("ord"): F.min_by(value, F.when(value.isNotNull(), order))
-    # Alone in its group, the product's first values are its own.
-    single = [F.first(F.struct("product_name", "condition", "description", "confidence", "product_url", "image_url", "fragment_count")).alias("_kept"), F.max("_n").alias("_n")]
     grouped = rows.groupBy(*keys).agg(
         F.min("ord").alias("ord"),
-        F.max("_name").alias("_best"),
         F.min(price).alias("price"),
         F.min_by("currency", "ord").alias("currency"),
-        first(squash(F.col("seller"))).alias("seller"),
-        F.array_sort(F.flatten(F.collect_list(F.when(only, texts)))).alias("_texts"),
+        first(F.col("_text2")).alias("seller"),
+        F.collect_list(texts).alias("_texts"),
         first(F.col("url"), F.struct(~canonical, F.col("ord"))).alias("_url"),
         first(image).alias("image_url"),
         F.max("confidence").alias("_confidence"),
         F.count("*").alias("fragment_count"),
-        *(single if again else ()),
         # Rules of the page are the same on all of its rows: one value instead of many aggregates.
         F.first(F.struct(*CARRIED)).alias("_page"),
     ).select("*", "_page.*").drop("_page")
+    grouped = grouped.withColumn("_texts", F.array_sort(F.filter(F.flatten("_texts"), lambda t: t["t"].isNotNull())))
+    grouped = grouped.withColumn("_best", _best_name(F.col("_texts"))).where(F.col("_best").isNotNull())
     name = F.substring(F.col("_best.name"), 1, 160)
-    said = F.array_distinct(F.filter(F.transform("_texts", lambda t: t["t"]), lambda t: t.isNotNull()))
-    others = F.slice(F.array_distinct(F.filter(F.transform(said, clean_name), lambda t: t.isNotNull() & (t != name))), 1, 4)
-    staged = grouped.withColumn("_others", others)
-    made = {
-        "product_name": name,
-        "condition": condition_of(F.array_join(said, " "), F.col("default_condition")),
-        "description": F.when(F.size("_others") > 0, F.substring(F.concat(name, F.lit(" / "), F.array_join("_others", " / ")), 1, 500)),
-        "confidence": F.col("_confidence") + name_score(name, query_terms(F.col("query"))),
-        "product_url": _rewritten(F.col("_url"), F.col("product_identity_params")),
-        "image_url": F.col("image_url"),
-        "fragment_count": F.col("fragment_count"),
-    }
-    named = F.col("_best").isNotNull()
-    if again:
-        made = {c: F.when(F.col("_n") == 1, F.col(f"_kept.{c}")).otherwise(v) for c, v in made.items()}
-        named = named | (F.col("_n") == 1)
-    return staged.where(named).withColumns(made).withColumn("price_text", F.lit(None).cast("string")).drop("_best", "_texts", "_url", "_confidence", "_others", "_kept", "_n")
+    spoken = F.array_distinct(F.transform("_texts", lambda t: t["t"]))
+    clean = F.array_distinct(F.transform("_texts", lambda t: t["names"]["clean"]))
+    others = F.slice(F.filter(clean, lambda t: t.isNotNull() & (t != name)), 1, 4)
+    staged = grouped.withColumns({"_others": others, "_spoken": F.array_join(spoken, " ")})
+    return staged.withColumns(
+        {
+            "product_name": name,
+            "condition": condition_of(F.col("_spoken"), F.col("default_condition")),
+            "description": F.when(F.size("_others") > 0, F.substring(F.concat(name, F.lit(" / "), F.array_join("_others", " / ")), 1, 500)),
+            "confidence": F.col("_confidence") + name_score(name, query_terms(F.col("query"))),
+            "product_url": _rewritten(F.col("_url"), F.col("product_identity_params")),
+            "price_text": F.lit(None).cast("string"),
+        }
+    ).drop("_best", "_texts", "_url", "_confidence", "_others", "_spoken")
 
 
 #: Columns of the page and its source that every fragment carries along.
@@ -152,8 +156,10 @@ def aggregate_candidates(candidates: DataFrame, absolute: bool = False) -> DataF
     alone = F.coalesce("identity", F.concat(F.lit("candidate:"), F.col("ord").cast("string")))
     once = aggregate_group(with_identity(candidates, absolute).withColumn("_group", alone), keys)
     once = once.where(F.col("include_used") | (F.col("condition") != "used")).drop("_group")
-    # Chosen links keep their identity parameter, so a second merge seldom finds anything; products
-    # that stay alone pass through it untouched.
+    # Chosen links keep their identity parameter, so a second merge seldom finds anything: products
+    # that stay alone pass by it.
     again = with_identity(once, absolute).withColumn("_group", alone)
-    again = again.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return with_identity(aggregate_group(again, keys, again=True), absolute).drop("_group")
+    listed = again.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in again.columns if c not in keys))).alias("_all"))
+    single = listed.where(F.size("_all") == 1).select(*keys, F.inline("_all"))
+    several = aggregate_group(listed.where(F.size("_all") > 1).select(*keys, F.inline("_all")), keys)
+    return single.unionByName(with_identity(several, absolute).select(*single.columns)).drop("_group")

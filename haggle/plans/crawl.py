@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haggle.functions.price import parse_price
 from haggle.functions.text import squash
 from haggle.functions.urls import absolute_url
 from haggle.operators.filters import eligible, valid_products
-from haggle.operators.reduce import aggregate_candidates, keep_first
+from haggle.operators.reduce import aggregate_candidates, keep_first, top_n
 
 
 def normalize(candidates: DataFrame, absolute: bool = False) -> DataFrame:
@@ -45,13 +45,12 @@ def dedupe_products(products: DataFrame) -> DataFrame:
 def crawl_products(candidates: DataFrame, absolute: bool = False, cap: bool = True) -> DataFrame:
     """Products of each request in result order: sources as registered, then by confidence.
 
-    ``candidates`` carry their request, page and source rules (see ``CARRIED``).  With ``cap`` each
-    page brings at most eight times the limit, in extraction order, as a crawl does."""
+    ``candidates`` carry their request, page and source rules (see ``CARRIED``) and their place ``ord``
+    in the page, from 0; a source has one page in a request.  With ``cap`` each page brings at most eight
+    times the limit, in extraction order, as a crawl does."""
     if cap:
-        page = Window.partitionBy("request_id", "source").orderBy("ord")
-        candidates = candidates.withColumn("_n", F.row_number().over(page)).where(F.col("_n") <= F.col("limit") * 8).drop("_n")
+        candidates = candidates.where(F.col("ord") < F.col("limit") * 8)
     reduced = aggregate_candidates(candidates, absolute)
     valid = valid_products(normalize(eligible(reduced), absolute), F.col("max_price"))
     unique = dedupe_products(valid)
-    place = Window.partitionBy("request_id").orderBy("source_ord", F.desc("confidence"), "ord", "product_url")
-    return unique.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= F.col("limit"))
+    return top_n(unique, ["request_id"], ["source_ord", F.desc("confidence"), "ord", "product_url"], F.col("limit"), "rank")
