@@ -15,6 +15,7 @@ from haggle.operators.store import ProductStore
 from haggle.operators.summary import benchmark_summary, candidate_summary, crawl_status, source_dashboard, summarize_products
 from haggle.plans.crawl import crawl_products
 from haggle.sources.files import as_products, file_rows, modified_at
+from haggle.session import shared_folder
 from haggle.sources.registry import search_url, select_sources, sources_frame
 
 Collector = Callable[[str | None, int], DataFrame]
@@ -45,7 +46,10 @@ class Engine:
 
         ``pages``: source, html, title, http_status, render_error (null if fetched)."""
         # A handful of sources for each request.
-        parsed = parse_pages(pages.join(F.broadcast(requests), "source")).persist()
+        folder = shared_folder(self.spark, "crawl")
+        parse_pages(pages.join(F.broadcast(requests), "source")).write.parquet(folder)
+        # Parsed once: products, counters and status all read what was written.
+        parsed = self.spark.read.parquet(folder)
         counters = parsed.select(
             "request_id", "source", "source_ord", "title", "http_status", "render_error", "parse_error", "stats.*",
             F.size(F.filter("candidates", lambda c: F.coalesce(c["image_url"], F.lit("")) != "")).alias("raw_image_candidate_count"),

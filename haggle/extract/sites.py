@@ -29,6 +29,22 @@ CM_IMAGE = "img.29cm.co.kr/item/"
 CM_PRICE = re.compile(r"(?<![%0-9])([0-9]{1,3}(?:,[0-9]{3})+)(?!\s*%)")
 CM_NO_NAMES = ("무료배송", "리뷰", "좋아요", "쿠폰", "담기", "랭킹", "할인")
 CM_NO_IMAGES = ("logo", "icon", "banner", "badge", "placeholder", "sprite")
+KURLY_NO_NAME = re.compile(r"[0-9]+\s*%|[0-9,]+|\+?[0-9]+%\s*쿠폰")
+KURLY_REVIEWS = re.compile(r"([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)")
+KURLY_CLASSES = {
+    "name": ("product-name", "goods-name", "name"), "description": ("desc", "description", "subtitle", "sub-title"), "badges": ("badge", "label", "tag", "delivery", "shipping"),
+    "reviews": ("review-count", "review"), "sale": ("sales-price",), "discounted": ("discount-price",), "original": ("dimmed-price",), "rate": ("discount-rate",),
+}
+LOTTE_NO_NAME = re.compile(r"[0-9,]+\s*원?|[0-9]+%|[0-9.]+")
+LOTTE_PERCENT = re.compile(r"([0-9]{1,2})\s*%")
+LOTTE_RATINGS = (re.compile(r"([0-5](?:\.[0-9])?)\s*(?:고객평점|평점)"), re.compile(r"(?:고객평점|평점)\s*([0-5](?:\.[0-9])?)"))
+LOTTE_REVIEWS = re.compile(r"([0-9,]+)\s*(?:리뷰|건)")
+LOTTE_CLASSES = {
+    "title": "c-product-title", "price": "c-product-price", "original": "c-product-price__real", "final": "c-product-price__final", "rate": "c-product-price__sale",
+    "seller": ("seller", "store", "mall", "shop"), "brand": ("brand",),
+}
+CM_NO_NAME = re.compile(r"[0-9]+\s*%|[0-9.]+|[0-9,]+")
+CM_CLASSES = ("product-name", "item-name", "goods-name", "name", "title")
 ELEVENST_WANTED = {"id", "title", "finalprc", "selprc", "discountprice", "linkurl", "imageurl", "productid", "productno", "productname", "price"}
 ELEVENST_IDS = ("id", "productNo", "productId", "prdNo", "goodsNo", "itemId")
 ELEVENST_TITLES = ("title", "productName", "prdName", "goodsName", "itemName", "name")
@@ -87,7 +103,7 @@ def kurly(html: str, _scripts: list[dict], limit: int) -> list[dict]:
     base = "https://www.kurly.com"
 
     def no_name(t: str) -> bool:
-        return bool(WON.search(t)) or bool(re.fullmatch(r"[0-9]+\s*%|[0-9,]+|\+?[0-9]+%\s*쿠폰", t)) or any(m in t for m in KURLY_NO_NAMES)
+        return bool(WON.search(t)) or bool(KURLY_NO_NAME.fullmatch(t)) or any(m in t for m in KURLY_NO_NAMES)
 
     def price(texts: list[str]) -> int | None:
         return next((p for t in texts if (m := WON.search(t)) and (p := int(m[1].replace(",", ""))) > 0), None)
@@ -105,7 +121,7 @@ def kurly(html: str, _scripts: list[dict], limit: int) -> list[dict]:
 
     def describe(card: Element, name: str | None) -> str | None:
         good = lambda t: fits(t, 4, 200) if t != name else None
-        named = next(filter(None, map(good, _texts(card, "desc", "description", "subtitle", "sub-title"))), None)
+        named = next(filter(None, map(good, _texts(card, *KURLY_CLASSES["description"]))), None)
         if named:
             return named
         texts = list(dict.fromkeys(t for e in card.below() if (t := e.card_text())))
@@ -122,13 +138,13 @@ def kurly(html: str, _scripts: list[dict], limit: int) -> list[dict]:
                 continue
             seen.add(m[1])
             pictures = [e for e in _images(a) if shows_product(e)]
-            name = next(filter(None, (fits(t, 2, 160) for t in [*_texts(a, "product-name", "goods-name", "name"), *map(label, pictures)])), None)
+            name = next(filter(None, (fits(t, 2, 160) for t in [*_texts(a, *KURLY_CLASSES["name"]), *map(label, pictures)])), None)
             image = _source(pictures[0]) if pictures else None
-            cost = price(_texts(a, "sales-price")) or price(_texts(a, "discount-price"))
-            badges = [t for t in _texts(a, "badge", "label", "tag", "delivery", "shipping") if len(t) <= 80][:10]
+            cost = price(_texts(a, *KURLY_CLASSES["sale"])) or price(_texts(a, *KURLY_CLASSES["discounted"]))
+            badges = [t for t in _texts(a, *KURLY_CLASSES["badges"]) if len(t) <= 80][:10]
             raw = {
-                "product_id": m[1], "original_price": price(_texts(a, "dimmed-price")), "discount_rate": _first(PERCENT, _texts(a, "discount-rate")),
-                "review_count": _first(re.compile(r"([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)"), _texts(a, "review-count", "review")), "badges": badges,
+                "product_id": m[1], "original_price": price(_texts(a, *KURLY_CLASSES["original"])), "discount_rate": _first(PERCENT, _texts(a, *KURLY_CLASSES["rate"])),
+                "review_count": _first(KURLY_REVIEWS, _texts(a, *KURLY_CLASSES["reviews"])), "badges": badges,
             }
             yield m[1], _made(
                 raw, product_name=name, price=cost, price_text=None if cost is None else str(cost), product_url=urljoin(base, href),
@@ -148,10 +164,10 @@ def lotteon(html: str, _scripts: list[dict], limit: int) -> list[dict]:
         return any(m in t for m in LOTTE_NO_NAMES)
 
     def clean(t: str | None) -> str | None:
-        return t if t and 2 <= len(t) <= 200 and not ui(t) and not re.fullmatch(r"[0-9,]+\s*원?|[0-9]+%|[0-9.]+", t) else None
+        return t if t and 2 <= len(t) <= 200 and not ui(t) and not LOTTE_NO_NAME.fullmatch(t) else None
 
     def last_number(t: str | None) -> int | None:
-        found = NUMBER.findall(re.sub(r"[0-9]{1,2}\s*%", " ", t or ""))
+        found = NUMBER.findall(LOTTE_PERCENT.sub(" ", t or ""))
         return int(found[-1].replace(",", "")) if found else None
 
     def within(box: Element, part: str, read):
@@ -161,7 +177,7 @@ def lotteon(html: str, _scripts: list[dict], limit: int) -> list[dict]:
         return next((t for e in card.below() if e.class_has(*parts) and (t := e.card_text()) and 1 < len(t) <= 80 and not ui(t)), None)
 
     def percent(t: str | None) -> int | None:
-        m = re.search(r"([0-9]{1,2})\s*%", t or "")
+        m = LOTTE_PERCENT.search(t or "")
         return int(m[1]) if m else None
 
     def cards():
@@ -170,24 +186,24 @@ def lotteon(html: str, _scripts: list[dict], limit: int) -> list[dict]:
             if not links:
                 continue
             number, address = links[0][1], urljoin(base, links[0][0].attrs["href"])
-            titles = [e.card_text() for e in card.below() if e.class_has("c-product-title")] + [e.card_text() for e, _ in links]
-            box = next((e for e in card.below() if e.class_has("c-product-price")), None)
+            titles = [e.card_text() for e in card.below() if e.class_has(LOTTE_CLASSES["title"])] + [e.card_text() for e, _ in links]
+            box = next((e for e in card.below() if e.class_has(LOTTE_CLASSES["price"])), None)
             cost = original = rate = said = None
             if box is not None:
                 said = box.card_text()
-                original = within(box, "c-product-price__real", last_number)
-                cost = within(box, "c-product-price__final", last_number)
+                original = within(box, LOTTE_CLASSES["original"], last_number)
+                cost = within(box, LOTTE_CLASSES["final"], last_number)
                 cost = last_number(said) if cost is None else cost
-                rate = within(box, "c-product-price__sale", percent)
+                rate = within(box, LOTTE_CLASSES["rate"], percent)
             image = next(
                 (i for e in _images(card) if (i := _full(_source(e), base)) and LOTTE_IMAGE in i
                  and not any(m in f"{i} {e.attrs.get('class') or ''} {e.attrs.get('alt') or ''}".lower() for m in LOTTE_NO_IMAGES)),
                 None,
             )
             all_text = card.card_text() or ""
-            score = re.search(r"([0-5](?:\.[0-9])?)\s*(?:고객평점|평점)", all_text) or re.search(r"(?:고객평점|평점)\s*([0-5](?:\.[0-9])?)", all_text)
-            reviews = re.search(r"([0-9,]+)\s*(?:리뷰|건)", all_text)
-            brand = named(card, "brand")
+            score = next((m for p in LOTTE_RATINGS if (m := p.search(all_text))), None)
+            reviews = LOTTE_REVIEWS.search(all_text)
+            brand = named(card, *LOTTE_CLASSES["brand"])
             raw = {
                 "product_id": number, "sitm_no": (parse_qs(urlsplit(unescape(address)).query).get("sitmNo") or [None])[0], "brand": brand,
                 "original_price": original, "discount_rate": rate, "rating": float(score[1]) if score else None,
@@ -195,7 +211,7 @@ def lotteon(html: str, _scripts: list[dict], limit: int) -> list[dict]:
             }
             yield number, _made(
                 raw, product_name=next(filter(None, map(clean, titles)), None), price=cost, price_text=said,
-                seller=named(card, "seller", "store", "mall", "shop") or brand, product_url=f"{base}/p/product/{number}", image_url=image,
+                seller=named(card, *LOTTE_CLASSES["seller"]) or brand, product_url=f"{base}/p/product/{number}", image_url=image,
             )
 
     return _unique(cards(), limit)
@@ -216,7 +232,7 @@ def cm29(html: str, _scripts: list[dict], limit: int) -> list[dict]:
         return image if image and CM_IMAGE in image else None
 
     def no_name(t: str) -> bool:
-        return bool(CM_PRICE.search(t)) or bool(re.fullmatch(r"[0-9]+\s*%|[0-9.]+|[0-9,]+", t)) or any(m in t for m in CM_NO_NAMES)
+        return bool(CM_PRICE.search(t)) or bool(CM_NO_NAME.fullmatch(t)) or any(m in t for m in CM_NO_NAMES)
 
     def clean(value) -> str | None:
         t = squash(value)
@@ -243,9 +259,9 @@ def cm29(html: str, _scripts: list[dict], limit: int) -> list[dict]:
                 continue
             number, card = number_of(link), container(link)
             own = list(dict.fromkeys(t for e in card.below() if (t := e.own_text())))
-            titled = list(dict.fromkeys(t for e in card.below() if e.class_has("product-name", "item-name", "goods-name", "name", "title") and (t := e.own_text() or e.card_text())))
+            titled = list(dict.fromkeys(t for e in card.below() if e.class_has(*CM_CLASSES) and (t := e.own_text() or e.card_text())))
             name = next(filter(None, map(clean, [*titled, *(image.attrs.get(k) for k in ("alt", "aria-label", "title"))])), None)
-            costs = [p for t in own for m in CM_PRICE.findall(re.sub(r"[0-9]+\s*%", " ", t)) if (p := int(m.replace(",", ""))) >= 1000]
+            costs = [p for t in own for m in CM_PRICE.findall(PERCENT.sub(" ", t)) if (p := int(m.replace(",", ""))) >= 1000]
             cost = costs[-1] if costs else None
             brand = next((t for t in own if t != name and not no_name(t) and len(t) <= 60), None)
             yield number, _made(

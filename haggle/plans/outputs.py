@@ -44,6 +44,12 @@ def crawl_documents(products: DataFrame, status: DataFrame, counters: DataFrame
     return whole.select("request_id", F.to_json(F.struct(*names), KEEP_NULLS).alias("value"))
 
 
+def dump_pages(pages: DataFrame, path: str) -> None:
+    """Fetched pages (source, html) as files for debugging: a folder for each source, a file for each page."""
+    shown = pages.where("html is not null").select("source", F.col("html").alias("value"))
+    shown.write.mode("overwrite").partitionBy("source").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
 def file_name(query: str) -> str:
     """A query as a file name: other signs than letters and digits become '_'."""
     return "".join(c if c.isalnum() else "_" for c in query).strip("_") or "query"

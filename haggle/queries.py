@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haggle.extract import frames
@@ -11,9 +10,9 @@ from haggle.functions import text as T
 from haggle.functions import urls as U
 from haggle.operators import filters, reduce, summary
 from haggle.plans import views
-from haggle.plans.crawl import crawl_products
-from haggle.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
+from haggle.plans.crawl import crawl_products, dedupe_products
 from haggle.plans.views import FRAGMENTS_SQL, KEYS, LISTING_SQL, NEWEST_SQL, RUNS_SQL, URLS_SQL
+from haggle.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
 from haggle.sources.registry import search_url, sources_frame
 
 SHOWN = (*KEYS, "product_name", "category", "price", "shipping_fee", "seller", "platform", "product_url", "collected_at", "data_source")
@@ -354,17 +353,12 @@ def dedupe_by_identity(spark, sf):
 
 
 @query(
-    f"""WITH {LISTING_SQL}, {KEYED_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY {', '.join(KEYS)}) AS r FROM ided)
-    SELECT data_source AS source_file, count(*)::BIGINT AS extracted_count, count(*) FILTER (r > 1)::BIGINT AS duplicate_count,
-      count(*) FILTER (r = 1)::BIGINT AS final_count, count(*) FILTER (r = 1 AND platform = 'group_buy')::BIGINT AS ad_count
-    FROM m GROUP BY data_source"""
+    f"""WITH {LISTING_SQL} SELECT data_source AS source_file, count(*)::BIGINT AS extracted_count, count(*) FILTER (platform = 'group_buy')::BIGINT AS ad_count,
+      count(*) FILTER (platform <> 'group_buy')::BIGINT AS organic_count, {MISSING_SQL} FROM listing GROUP BY data_source"""
 )
 def merge_summary(spark, sf):
-    ranked = _identified(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*KEYS)))
-    return ranked.groupBy(F.col("data_source").alias("source_file")).agg(
-        F.count("*").alias("extracted_count"), F.count_if(F.col("r") > 1).alias("duplicate_count"), F.count_if(F.col("r") == 1).alias("final_count"),
-        F.count_if((F.col("r") == 1) & (F.col("platform") == "group_buy")).alias("ad_count"),
-    )
+    rows = views.listing(spark, sf).withColumns({"source_file": F.col("data_source"), "product_type": F.when(F.col("platform") == "group_buy", "ad").otherwise("organic")})
+    return summary.file_summary(rows)
 
 
 @query(
@@ -387,40 +381,32 @@ def search_urls(spark, sf):
 # -- fragments ---------------------------------------------------------------------------------------------
 
 
+def _reduced(spark, sf):
+    """One product for each source and link."""
+    return reduce.aggregate_group(reduce.with_identity(views.fragments(spark, sf), absolute=True), ["source", "identity"])
+
+
 @query(
     f"""WITH {FRAGMENTS_SQL}
     SELECT source, product_url, min(price) AS price, arg_min(image_url, ord) FILTER (image_url IS NOT NULL) AS image_url,
-      arg_min(seller, ord) FILTER (seller IS NOT NULL) AS seller, max(confidence) AS confidence, count(*)::BIGINT AS fragment_count,
+      arg_min(seller, ord) FILTER (seller IS NOT NULL) AS seller, count(*)::BIGINT AS fragment_count,
       CASE WHEN bool_or(mark = '중고') THEN 'used' WHEN bool_or(mark = '리퍼') THEN 'refurbished' ELSE 'new' END AS condition
     FROM fragments GROUP BY source, product_url"""
 )
 def aggregate_identity(spark, sf):
-    rows = views.fragments(spark, sf)
-    price = F.coalesce("price", P.parse_price(F.col("price_text")))
-    text = F.concat_ws(" ", "product_name", "description")
-    used, again = text.rlike(T.USED), text.rlike(T.REFURBISHED)
-    present = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
-    return rows.groupBy("source", "product_url").agg(
-        F.min(price).alias("price"), present("image_url"), present("seller"), F.max("confidence").alias("confidence"), F.count("*").alias("fragment_count"),
-        F.when(F.bool_or(used), "used").when(F.bool_or(again), "refurbished").otherwise("new").alias("condition"),
-    )
+    return _reduced(spark, sf).select("source", "product_url", "price", "image_url", "seller", "fragment_count", "condition")
 
 
 @query(
     f"""WITH {FRAGMENTS_SQL}, p AS (
-      SELECT source, product_url, ord, unnest(CASE WHEN length(mark) >= 3 THEN [p_name, p_type, mark, p_name || ' ' || p_type, p_name || ' ' || p_type || ' ' || mark, p_type || ' ' || mark] ELSE [p_name, p_type, p_name || ' ' || p_type] END) AS name,
+      SELECT source, product_url, ord, confidence, unnest(CASE WHEN length(mark) >= 3 THEN [p_name, p_type, mark, p_name || ' ' || p_type, p_name || ' ' || p_type || ' ' || mark, p_type || ' ' || mark] ELSE [p_name, p_type, p_name || ' ' || p_type] END) AS name,
         unnest(CASE WHEN length(mark) >= 3 THEN [1, 2, 3, 4, 5, 6] ELSE [1, 2, 3] END) AS place FROM fragments),
     s AS (SELECT *, 2.0::DOUBLE + regexp_matches(name, '(?i)GB|TB|자급제|S[0-9]+|울트라|Ultra')::INT * 2 + (len(string_split(name, ' ')) >= 3)::INT * 2
         + 3 * (contains(lower(name), 'small')::INT + contains(lower(name), 'red')::INT + contains(lower(name), 'ring')::INT) + length(name) / 120.0::DOUBLE AS score FROM p)
-    SELECT source, product_url, arg_max(name, (score, -ord, -place)) AS name, max(score) AS score FROM s WHERE length(name) >= 3 GROUP BY source, product_url"""
+    SELECT source, product_url, arg_max(name, (score, -ord, -place)) AS name, round(max(score) + max(confidence), 6) AS confidence FROM s WHERE length(name) >= 3 GROUP BY source, product_url"""
 )
 def aggregate_best_name(spark, sf):
-    rows = views.fragments(spark, sf)
-    parts = T.name_parts(T.squash(F.col("product_name")))
-    terms = T.query_terms(F.col("query"))
-    best = F.array_max(F.transform(parts, lambda p, i: F.struct(T.name_score(p["name"], terms).alias("score"), (-F.col("ord")).alias("o"), (-i).alias("i"), p["name"].alias("name"))))
-    grouped = rows.withColumn("best", best).groupBy("source", "product_url").agg(F.max("best").alias("best"))
-    return grouped.select("source", "product_url", "best.name", "best.score")
+    return _reduced(spark, sf).select("source", "product_url", F.col("product_name").alias("name"), F.round("confidence", 6).alias("confidence"))
 
 
 CRAWL_SQL = f"""
@@ -472,7 +458,10 @@ def crawl_topk(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY data_source, product_url, price ORDER BY {', '.join(KEYS)}) AS r FROM listing) WHERE r = 1"""
 )
 def dedupe_products_by_price(spark, sf):
-    return reduce.keep_first(views.listing(spark, sf), ["data_source", "product_url", "price"], [*KEYS]).select(*SHOWN)
+    rows = views.listing(spark, sf).withColumns(
+        {"request_id": F.lit("r1"), "source": F.col("data_source"), "source_ord": F.lit(0), "confidence": F.lit(0.0), "ord": F.struct(*KEYS)}
+    )
+    return dedupe_products(rows).select(*SHOWN)
 
 
 @query(f"WITH {LISTING_SQL} SELECT {SHOWN_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY product_url ORDER BY {', '.join(KEYS)}) AS r FROM listing) WHERE r = 1")

@@ -199,6 +199,23 @@ def elevenst_items(spark, sf):
     return facts(found(asked(made, "elevenst"), "product_name", "price", "price_text", "seller", "product_url", "image_url"), product_id="string")
 
 
+@query(
+    f"""WITH {ITEMS_SQL}
+    SELECT page_id // 2 AS page_id, row_number() OVER (PARTITION BY page_id // 2 ORDER BY n)::BIGINT - 1 AS ord, p_name AS product_name, amount AS price, 'https://www.11st.co.kr/products/' || n AS product_url
+    FROM items WHERE page_id % 10 <> 3"""
+)
+def elevenst_two_pages(spark, sf):
+    """The two answers of a search as one page; an answer that is no JSON gives nothing."""
+    from haggle.sources.fetch import joined_answers
+
+    item = """concat('{"id":"', n, '","title":"', p_name, '","finalPrc":"', won, '","linkUrl":"/products/', n, '","imageUrl":"/i/', n, '.jpg"}')"""
+    answers = pages(spark, sf, item, '{"items":[', "]}", ",")
+    broken = F.when(F.col("page_id") % 10 == 3, "<html>").otherwise(F.col("html"))
+    numbered = answers.select(F.floor(F.col("page_id") / 2).alias("search"), (F.col("page_id") % 2 + 1).alias("page_no"), F.concat(F.lit('https://"/'), "page_id").alias("url"), broken.alias("html"))
+    made = joined_answers(numbered, ["search"]).withColumnRenamed("search", "page_id")
+    return found(asked(made, "elevenst"), "product_name", "price", "product_url").drop("raw")
+
+
 @query(
     f"""WITH {ITEMS_SQL}
     SELECT page_id, {ORD}, p_name AS product_name, amount AS price, amount::VARCHAR AS price_text, p_brand AS seller, 'https://www.musinsa.com/products/' || n AS product_url,

@@ -50,8 +50,15 @@ def delete_at_end(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+#: Tables above this size are split by the scan itself and are never dealt out anew.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df):
-    """A scan of fewer parts than half the cores is dealt out anew, so that one large row group
-    does not keep a whole pipeline on one core.  Only for plain scans."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    """A small table in few files is dealt out anew, so that one row group does not keep a whole pipeline
+    on one core; a large one is left as the scan splits it.  Only for plain scans."""
+    spark = df.sparkSession
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(plan.stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and 2 * max(len(df.inputFiles()), size // split) <= cores else df

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haggle.functions.price import lenient_number
+from haggle.session import shared_folder
 
 # The names under which a field may stand in a file, in order.
 ALIASES = {
@@ -25,6 +26,7 @@ ALIASES = {
 }
 LIST_KEYS = ("items", "data", "products", "rows")
 NUMBERS = ("price", "original_price", "shipping_fee")
+PAGE_FILES = "*.{[hH][tT][mM],[hH][tT][mM][lL]}"
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -48,14 +50,22 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.posexplode("list").alias("ord", "fields")).select("fields", F.col("ord").cast("bigint").alias("ord"))
 
 
+def fetched(spark: SparkSession, address: str) -> str:
+    """A file behind an http(s) address, put into the shared folder; an import file is one document."""
+    from urllib.request import urlopen
+
+    with urlopen(address, timeout=30) as answer:
+        text = answer.read().decode("utf-8-sig")
+    folder = shared_folder(spark, "fetched")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
 def file_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a .csv or .json file or address; Spark fetches http(s) addresses itself."""
+    """Rows of a .csv or .json file or address."""
     suffix = os.path.splitext(urlsplit(path).path)[1].lower()
     if path.startswith(("http://", "https://")):
-        spark.sparkContext.addFile(path)
-        from pyspark import SparkFiles
-
-        path = "file://" + SparkFiles.get(os.path.basename(urlsplit(path).path))
+        path = fetched(spark, path)
     if suffix == ".csv":
         return csv_rows(spark, path)
     if suffix == ".json":
@@ -91,9 +101,11 @@ def modified_at(spark: SparkSession, path: str):
 
 
 def html_pages(spark: SparkSession, *paths: str) -> DataFrame:
-    """``path, html`` of the .html and .htm files in files and folders, each file once, by path.
+    """``path, html`` of the .html and .htm files in files and folders, each file once; ``path`` is their order.
 
     A missing path is an error; a file of another kind is passed over."""
-    folders = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(list(paths))
-    pages = folders.where(F.lower("path").rlike(r"\.html?\z"))
-    return pages.select("path", F.decode("content", "UTF-8").alias("html")).dropDuplicates(["path"]).orderBy("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PAGE_FILES).load(list(paths))
+    # The scan lists all files on the driver anyway; contents are read once, and no page is shuffled.
+    listed = sorted(r[0] for r in found.select("path").distinct().collect())
+    pages = spark.read.format("binaryFile").load(listed) if listed else found.limit(0)
+    return pages.select("path", F.decode("content", "UTF-8").alias("html"))

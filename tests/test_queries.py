@@ -40,11 +40,7 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, con, name):
-    got = rows(queries.QUERIES[name](spark, SF).toPandas())
-    if name not in queries.ORACLE_SQL:
-        assert name == "selector_discovery" and got[1]
-        return
-    assert got == rows(con.sql(queries.ORACLE_SQL[name]).df())
+    assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(queries.ORACLE_SQL[name]).df())
 
 
 def test_filters_and_columns_reach_the_scan(spark):
@@ -58,6 +54,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_discount" not in pushed and "p_retailprice" not in plan
 
 
+def test_a_limit_by_row_gathers_no_products_in_one_task(spark):
+    """What a request's last ranking reads has been limited in parts before it."""
+    plan = queries.QUERIES["crawl_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    gathered = plan.index("Exchange SinglePartition")
+    assert "rank" in plan[:gathered] and "Filter (_rank" in plan[gathered:].split("Exchange hashpartitioning")[0]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
