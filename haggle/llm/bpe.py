@@ -34,6 +34,8 @@ LATIN_NUMBERS = "0-9²³¹¼-¾"
 
 #: Entries of each of the two generations of a worker's pre-token memory.
 MEMO = 150_000
+#: Longer pre-tokens are not remembered, which bounds the memory in bytes too.
+LONG_PIECE = 256
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -50,6 +52,8 @@ class Memo(dict):
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONG_PIECE:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

@@ -1,8 +1,9 @@
 """Token counts with a whole-token shortcut.
 
-Offline, every vocabulary string is run through the merges once; those that come out as the one
-token they are form the proven set.  A pre-token of that set counts one without any merging; the
-rest are merged with a priority queue.
+Offline, before any task starts, every vocabulary string is run through the merges once; those that
+come out as the one token they are form the proven set, which is sent to the workers (the vocabulary
+bounds it).  A pre-token of that set counts one without any merging; the rest are merged with a
+priority queue.
 """
 
 from __future__ import annotations
@@ -45,12 +46,18 @@ def merge_count(bpe: ByteBpe, raw: bytes) -> int:
     return left
 
 
+@lru_cache(4)
+def proven(path: str) -> frozenset[bytes]:
+    """The vocabulary strings that alone encode as one token."""
+    bpe = codec(path)
+    return frozenset(b for b in bpe.plain_ids.values() if merge_count(bpe, b) == 1)
+
+
 class Counter:
-    """Counts the tokens of a text."""
+    """Counts the tokens of a text with the proven set of its vocabulary."""
 
-    def __init__(self, path: str):
-        self.bpe = codec(path)
-        self.proven = {b for b in self.bpe.plain_ids.values() if merge_count(self.bpe, b) == 1}
+    def __init__(self, path: str, proven: frozenset[bytes]):
+        self.bpe, self.proven = codec(path), proven
         self.memo = Memo(self._word)
 
     def _word(self, word: str) -> int:
@@ -66,9 +73,14 @@ class Counter:
         )
 
 
-@lru_cache(4)
-def counter(path: str) -> Counter:
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, known: frozenset[bytes]) -> Counter:
+    """One counter per worker process, so that its memory outlives a task."""
+    if path not in _counters:
+        _counters[path] = Counter(path, known)
+    return _counters[path]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id_col: str = "doc_id") -> DataFrame:
@@ -81,8 +93,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    sent = docs.sparkSession.sparkContext.broadcast(proven(path))
+
     def make():
-        count = counter(path).count
+        count = counter(path, sent.value).count
 
         def step(batch):
             n, size = [], []

@@ -52,8 +52,10 @@ def test_encoding_and_decoding_agree_with_the_library(spark, library):
 
 def test_memo_forgets_but_stays_right():
     memo = bpe.Memo(lambda k: k * 2, limit=3)
-    assert [memo[k % 7] for k in range(200)] == [k % 7 * 2 for k in range(200)]
+    assert [memo[str(k % 7)] for k in range(200)] == [str(k % 7) * 2 for k in range(200)]
     assert len(memo) <= 3 and len(memo.old) <= 3
+    long = "x" * (bpe.LONG_PIECE + 1)
+    assert memo[long] == long * 2 and long not in memo and long not in memo.old
 
 
 def test_token_counts_agree_with_the_library(spark, library):
@@ -70,7 +72,7 @@ def test_token_counts_agree_with_the_library(spark, library):
 
 
 def test_proven_set_is_what_encodes_alone(library):
-    counter = token_count.counter(bpe.tokenizer_path())
+    counter = token_count.counter(bpe.tokenizer_path(), token_count.proven(bpe.tokenizer_path()))
     rng = random.Random(1)
     for raw in rng.sample(sorted(counter.proven), 500):
         try:
