@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from haggle.session import spread
+from haggle.session import shared_folder, spread
 
 #: Bytes of text that one vectorised step works on; it bounds a worker's memory.
 PIECE_BYTES = 1 << 20
@@ -25,11 +24,9 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> Non
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="haggle-checkpoint-"))
+    """Use the shared folder the cluster names; one of the machine only where the session is local."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,47 +6,63 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: A key with this share of all rows or more is a heavy one, so there are at most as many as its inverse.
-HEAVY = 1000
+#: Keys that are looked at for being heavy, and counters of the sketch that finds them: at a share of
+#: 1 / HEAVY of all rows a key is always among them.
+HEAVY, COUNTERS = 1000, 1 << 14
+
+
+def heavy_keys(df: DataFrame, key: str) -> list[int]:
+    """Hashes of the keys of at least one in ``HEAVY`` rows, so at most so many, by a sketch of fixed size."""
+    row = df.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(xxhash64({key}), {HEAVY}, {COUNTERS})").alias("top")).first()
+    return [r["item"] for r in row["top"] if r["count"] * HEAVY >= row["rows"]]
+
+
+def is_heavy(key: str, heavy: list[int]) -> Column:
+    return F.xxhash64(key).isin(heavy) if heavy else F.lit(False)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join on a key that ``right`` has once, with the number ``n`` of its rows in ``left``.
+    """Inner join on a key that ``right`` has once.
 
     Rows of heavy keys stay where they are and get their partner by broadcast, at most ``HEAVY`` rows
     whatever the size of the data; all others are joined by shuffle.  So a key of many rows gathers in
     no task.
     """
-    right = cut(right)
-    bound = (right.agg(F.sum("n")).first()[0] or 0) / HEAVY
-    heavy, light = right.where(F.col("n") >= bound).drop("n"), right.where(F.col("n") < bound).drop("n")
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    return left.join(F.broadcast(heavy), key).unionByName(rest)
+    heavy = heavy_keys(left, key)
+    if not heavy:
+        return left.join(right, key)
+    big = is_heavy(key, heavy)
+    return left.where(~big).join(right.where(~big), key).unionByName(left.where(big).join(F.broadcast(right.where(big)), key))
 
 
 def _state(links: DataFrame) -> tuple:
+    """What tells one round's links from another's."""
     row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, split: bool = False) -> DataFrame:
     """Rows ``node, root`` for every node of ``links`` (columns a, b); root is the smallest node.
 
     Every round first ties the larger neighbours of each node to its smallest one, then the
     smaller neighbours, and ends when the links are stars.  Links stay distributed; each round is
-    cut off in the checkpoint folder.
+    cut off in the checkpoint folder.  With ``split`` the links of heavy nodes are joined by broadcast,
+    for some more exchanges in a round; without it adaptive plans split such joins.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        # The centre of a large group has a link to each of its nodes.
+        larger = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        joined = keyed_join(larger, least, "a") if split else larger.join(least, "a")
+        large = joined.select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a")

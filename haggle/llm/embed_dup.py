@@ -235,15 +235,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
                         yield pa.RecordBatch.from_arrays([node.take(pa.array(at[a])), node.take(pa.array(at[b])), pa.array(links)], ["a", "b", "links"])
 
     found = cut(dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "a binary, b binary, links bigint"))
-    roots = components(found.select("a", "b"))
+    roots = components(found.select("a", "b"), split=True)
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    facts = distinct.select("node", F.col("copies").alias("n")).join(links, "node", "left").join(roots, "node", "left").select(
-        "node", "n", F.coalesce("root", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    facts = distinct.select("node", "copies").join(links, "node", "left").join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     linked = keyed_join(rows.where("node is not null").select("id", "node", "row"), facts, "node").select("id", "row", "class", "n_links")
     alone = rows.where("node is null").select("id", "row", F.col("row").cast("string").cast("binary").alias("class"), F.lit(0).cast("bigint").alias("n_links"))
     placed = cut(linked.unionByName(alone))
-    heads = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("head"), F.count("*").alias("n"))
+    heads = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("head"))
     return keyed_join(placed, heads, "class").select(
         F.col("id").alias(id_col),
         F.col("n_links").cast("bigint").alias("n_links"),
