@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from haggle.llm import bpe, mixing, near_dup, quality
 from haggle.llm.common import ready_checkpoints
 from haggle.llm.queries import SOURCE_WEIGHTS
+from haggle.session import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +36,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet into the shared folder and read again."""
+    """All stages over ``documents``; each is written as Parquet into the shared folder and read again.
+
+    What is written is deleted when the application ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ready_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
