@@ -33,26 +33,34 @@ class SiteConfig:
     page_param_step: int = 1
 
 
+def _text(value) -> str:
+    return "" if value is None else str(value).strip()
+
+
+#: What a configuration's value becomes, field by field; other fields keep their defaults.
+_KINDS = {
+    "name": _text,
+    "search_url_template": _text,
+    "collection_method": _text,
+    "selectors": lambda m: {str(k): str(v) for k, v in (m or {}).items() if v},
+    "attributes": lambda m: {str(k): str(v) for k, v in (m or {}).items() if v},
+    "domains": lambda v: tuple(d.lower() for d in map(_text, v or ()) if d),
+    "list_urls": lambda v: tuple(filter(None, map(_text, v or ()))),
+    "api_collector": lambda v: v,
+    "page_start": int,
+    "page_param_step": int,
+}
+
+
 def _read(raw: dict) -> SiteConfig:
-    permission = raw.get("permission") or {}
-    texts = lambda m: {str(k): str(v) for k, v in (m or {}).items() if v}
-    many = lambda v: tuple(s for s in (str(x).strip() for x in v or ()) if s)
-    return SiteConfig(
-        name=str(raw.get("name") or "").strip(),
-        selectors=texts(raw.get("selectors")),
-        attributes=texts(raw.get("attributes")),
-        domains=tuple(d.lower() for d in many(raw.get("domains"))),
-        list_urls=many(raw.get("list_urls")),
-        search_url_template=str(raw.get("search_url_template") or "").strip(),
-        collection_method=str(raw.get("collection_method") or "").strip(),
-        api_collector=raw.get("api_collector"),
-        approved=permission.get("approved") is True,
-        permission_note=permission.get("note"),
-        permission_reference=permission.get("reference"),
-        default_seller=raw.get("default_seller") or raw.get("seller"),
-        page_start=int(raw.get("page_start", 1)),
-        page_param_step=int(raw.get("page_param_step", 1)),
-    )
+    given = {"selectors": None, "collection_method": None, **{k: v for k, v in raw.items() if k in _KINDS}}
+    values = {k: _KINDS[k](v) for k, v in given.items()}
+    allowed = raw.get("permission") or {}
+    # Only a plain yes approves a source.
+    values["approved"] = allowed.get("approved") is True
+    values |= {f"permission_{k}": allowed[k] for k in ("note", "reference") if k in allowed}
+    seller = next((raw[k] for k in ("default_seller", "seller") if raw.get(k)), None)
+    return SiteConfig(**{"name": "", **values, "default_seller": seller})
 
 
 def _need(ok, message: str) -> None:

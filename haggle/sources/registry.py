@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import astuple, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,6 +117,3 @@ def page_urls(templates: DataFrame, max_pages: int) -> DataFrame:
     value = F.col("page_start") + F.col("index") * F.col("page_step")
     return templates.withColumn("index", page).withColumn("page", F.col("index") + 1).withColumn("url", fill_template(F.col("template"), F.col("query"), value))
 
-
-#: An extension point: what a further source brings along.
-SiteExtractor = Callable[[str, int], list[dict]]
