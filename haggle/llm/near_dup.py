@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small_batches
-from .components import components, groups, keyed_join
+from .components import components, groups, heavy_keys, is_heavy, keyed_join
 from .words import BASE, GOLDEN, TO_LOWER, U, mix, shingles
 
 BANDS, ROWS = 28, 5
@@ -189,11 +189,11 @@ def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roo
         rooted.groupBy("bucket")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
         .where("r0 <> r1")
-        .select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     slots = sketched.select("node", "slots").dropDuplicates(["node"])
     rows = (
-        keyed_join(rooted, open_buckets, "bucket")
+        rooted.join(open_buckets, "bucket")
         .join(slots, "node")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -259,8 +259,12 @@ def classes(docs: DataFrame, threshold: float, width: int, id_col: str) -> DataF
     distinct = filled.groupBy("node").agg(F.first("bands").alias("bands"))
     banded = distinct.select("node", F.explode("bands").alias("bucket"))
     # A bucket of one node is done; of the others the smallest node is the pivot.
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").drop("z")
-    members = cut(keyed_join(banded, pivots, "bucket"))
+    heavy = is_heavy("bucket", heavy_keys(banded, "bucket"))
+    in_bucket = Window.partitionBy("bucket")
+    light = banded.where(~heavy).withColumns({"a": F.min("node").over(in_bucket), "z": F.max("node").over(in_bucket)})
+    # Buckets of many nodes are few: their ends are summed up in parts and sent to the nodes.
+    ends = banded.where(heavy).groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    members = cut(light.unionByName(banded.where(heavy).join(F.broadcast(ends), "bucket")).where("a <> z").drop("z"))
     pairs = cut(members.where("a <> node").select("a", F.col("node").alias("b")).distinct())
     links = cut(verified(named, pairs, threshold, width))
     roots = cut(components(links))
@@ -270,12 +274,12 @@ def classes(docs: DataFrame, threshold: float, width: int, id_col: str) -> DataF
     # Rows without shingles get a class each; a copy's class is found through its node.
     rows = sketched.select("id", "node", "empty").withColumn("row", F.monotonically_increasing_id())
     filled_rows = rows.where("not empty")
-    facts = filled_rows.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class"))
+    facts = filled_rows.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     alone = rows.where("empty").withColumn("class", F.col("row").cast("string").cast("binary"))
     placed = keyed_join(filled_rows, facts, "node").unionByName(alone)
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     placed = cut(placed)
-    heads = placed.groupBy("class").agg(F.min(first).alias("head"), F.count("*").alias("n"))
+    heads = placed.groupBy("class").agg(F.min(first).alias("head"))
     return keyed_join(placed, heads, "class").select(
         "id", "node", "empty", F.col("head.id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept")
     )
