@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, nothing_left
 
 #: Keys that are looked at for being heavy, and counters of the sketch that finds them: at a share of
 #: 1 / HEAVY of all rows a key is always among them.
@@ -18,7 +18,8 @@ HEAVY, COUNTERS = 1000, 1 << 14
 
 def heavy_keys(df: DataFrame, key: str) -> list[int]:
     """Hashes of the keys of at least one in ``HEAVY`` rows, so at most so many, by a sketch of fixed size."""
-    row = df.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(xxhash64({key}), {HEAVY}, {COUNTERS})").alias("top")).first()
+    with nothing_left(df.sparkSession):
+        row = df.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(xxhash64({key}), {HEAVY}, {COUNTERS})").alias("top")).first()
     return [r["item"] for r in row["top"] if r["count"] * HEAVY >= row["rows"]]
 
 
@@ -42,7 +43,8 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def _state(links: DataFrame) -> tuple:
     """What tells one round's links from another's."""
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    with nothing_left(links.sparkSession):
+        row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 

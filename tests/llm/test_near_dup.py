@@ -1,10 +1,11 @@
 import random
+import time
 from collections import Counter
 from itertools import islice
 
 import numpy as np
 
-from haggle.llm import near_dup, words
+from haggle.llm import common, components, near_dup, words
 
 
 def bag(text):
@@ -79,6 +80,26 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Rounds of components and sketches are many: what each has shuffled goes when it ends."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(4)
+    before = shuffle_files(spark)
+    kept = spark.conf.get(common.CLEANUP)
+    rooted = common.cut(components.components(links))
+    components.heavy_keys(rooted, "root")
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(common.CLEANUP) == kept
+    assert rooted.where("root = 0").count() == rooted.count() == 201
+
+
 def test_query_matches_sql(spark):
     import duckdb
 
