@@ -100,6 +100,18 @@ def test_steps_leave_no_shuffle_files(spark):
     assert rooted.where("root = 0").count() == rooted.count() == 201
 
 
+def test_deduplicate_leaves_no_shuffle_files(spark):
+    """What the pipeline's stage has worked out before its last join keeps no shuffle files."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 3}") for i in range(12)], "doc_id long, text string").repartition(4)
+    before = shuffle_files(spark)
+    one = near_dup.deduplicate(docs)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert [r.doc_id for r in one.orderBy("doc_id").collect()] == [0, 3, 6, 9]
+
+
 def test_query_matches_sql(spark):
     import duckdb
 
