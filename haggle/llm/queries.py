@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed_dup, license_scan, lm_score, mixing, near_dup, quality, token_count, top_k
+from . import bpe, chat, collocations, embed_dup, lexical, license_scan, lm_score, mixing, near_dup, quality, token_count, top_k, url_filter
 from .common import table
 
 
@@ -57,11 +57,30 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_near_dup, op3_bpe, op4_quality, op5_embed_dup, op6_mixing, op7_lm_score, op8_license_scan, op9_top_k, op10_token_count)
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_near_dup, op3_bpe, op4_quality, op5_embed_dup, op6_mixing, op7_lm_score, op8_license_scan, op9_top_k, op10_token_count,
+        op11_url_filter, op12_collocations, op13_lexical_search,
+    )
 }
 
 _TEMPLATES_SQL = ",\n          ".join(f"('{t.label}', '{t.text}', '{k}')" for t in license_scan.TEMPLATES for k in t.keys)
+_RULES_SQL = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in url_filter.RULES)
+#: A glob as a regular expression: full stops are literals, ``**`` is anything and ``*`` stays inside a part.
+_GLOBS_SQL = "|".join(g.replace(".", r"\.").replace("**", "\0").replace("*", "[^/?]*").replace("\0", ".*") for g in url_filter.BLOCK_GLOBS)
 _PHRASES_SQL = ", ".join(f"('{label}', '{phrase}')" for phrase, label in license_scan.BASE_PHRASES.items())
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,4 +172,57 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT class, min(doc_id) AS class_id FROM g JOIN w ON w.r = node GROUP BY class)
         SELECT doc_id, class_id, doc_id = class_id AS kept FROM w JOIN g ON node = r JOIN m USING (class)
     """,
+    "op11_url_filter": rf"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        p AS (
+          SELECT row_number() OVER () AS r, page_id,
+            translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+            coalesce(regexp_extract(rest, '^[^?#]*([?][^#]*)', 1), '') AS query, rest IS NOT NULL AS real FROM u),
+        rules(action, rule_host, rule_path) AS (VALUES {_RULES_SQL}),
+        fit AS (
+          SELECT r, rule_host || rule_path AS rule, action, row_number() OVER (PARTITION BY r ORDER BY strlen(rule_host || rule_path) DESC) AS place
+          FROM p JOIN rules ON real AND (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+        SELECT page_id, host, path, rule,
+          coalesce(action, CASE WHEN real AND regexp_full_match('.' || host || path || query, '(?s){_GLOBS_SQL}') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN (SELECT * FROM fit WHERE place = 1) USING (r)
+    """,
+    "op12_collocations": r"""
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k)),
+        f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+        cuts AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS place FROM c),
+        s AS (
+          SELECT cuts.lang, cuts.phrase, cuts.a, place, x.a AS l, y.a AS r, 1000000 * cuts.a * cuts.a // (x.a * y.a) AS score
+          FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[:place], ' ')
+            JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[place + 1:], ' ')),
+        low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1),
+        inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+        kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        k AS (SELECT row_number() OVER () AS r, doc_id, w, len(w)::HUGEINT AS n FROM d WHERE len(w) > 0),
+        facts AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS words FROM k),
+        q AS (
+          SELECT row_number() OVER () AS q, item_id,
+            list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        asked AS (SELECT q, item_id, unnest(w) AS term FROM q),
+        tf AS (SELECT r, term, count(*)::HUGEINT AS tf FROM (SELECT r, unnest(w) AS term FROM k) SEMI JOIN asked USING (term) GROUP BY ALL),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::HUGEINT AS w FROM df, facts),
+        s AS (
+          SELECT q, item_id, r, doc_id, sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS score
+          FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN (SELECT r, doc_id, n FROM k) USING (r), facts GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score::BIGINT AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 10
+    """,
 }
