@@ -16,7 +16,7 @@ from haggle.plans.shop_pages import ITEMS_SQL, asked, items, pages
 from haggle.queries_pages import ORD
 from haggle.registered import query
 from haggle.session import shared_folder
-from haggle.sources import api, config, files
+from haggle.sources import api, config, files, page_source
 from haggle.sources.registry import sources_frame
 
 # -- feeds -----------------------------------------------------------------------------------------------
@@ -273,6 +273,53 @@ def robots_gate(spark, sf):
     return collect.gate(rows).select("page_id", "page_error")
 
 
+# -- the data source of pages ------------------------------------------------------------------------------
+
+SERVED_SQL = r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title, length(html)::BIGINT AS chars FROM pages"
+
+
+def _served(spark, sf):
+    """A log of addresses in two batches: a file for each page, in the shared folder."""
+    from haggle.plans.views import read
+
+    folder = shared_folder(spark, "served")
+    read(spark, sf, "pages").select("page_id", F.col("html").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").partitionBy("page_id").text(f"{folder}/pages")
+    addresses = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{folder}/pages").select(F.col("path").alias("url"))
+    even = F.regexp_extract("url", "page_id=([0-9]+)/", 1).cast("bigint") % 2 == 0
+    page_source.register(spark)
+    log = page_source.AddressLog(spark, f"{folder}/log")
+    log.append(addresses.where(even))
+    return folder, log, addresses.where(~even)
+
+
+def _shown_pages(fetched):
+    page = F.regexp_extract("url", "page_id=([0-9]+)/", 1).cast("bigint")
+    return fetched.select(page.alias("page_id"), F.nullif("title", F.lit("")).alias("title"), (F.length("html") - 1).cast("bigint").alias("chars"))
+
+
+@query(SERVED_SQL)
+def page_table(spark, sf):
+    """Pages fetched by the data source, read as a table."""
+    _, log, rest = _served(spark, sf)
+    log.append(rest)
+    return _shown_pages(spark.read.format("pages").option("delay", "0").load(log.path))
+
+
+@query(SERVED_SQL)
+def page_stream(spark, sf):
+    """Pages fetched by the data source as a stream that starts, ends, and starts again behind its last batch."""
+    folder, log, rest = _served(spark, sf)
+
+    def run():
+        writer = spark.readStream.format("pages").option("delay", "0").load(log.path).writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        writer.format("parquet").trigger(availableNow=True).start(f"{folder}/fetched").awaitTermination()
+
+    run()
+    log.append(rest)
+    run()
+    return _shown_pages(spark.read.parquet(f"{folder}/fetched"))
+
+
 # -- collections -----------------------------------------------------------------------------------------
 
 _CARD = """concat('<div class="card"><a class="name" href="/p/', {link}, '">', p_name, ' ', n, '</a><b class="price">', {price}, '</b><i class="ship">', CASE WHEN n % 3 = 0 THEN '무료배송' ELSE '배송비 3,000원' END,

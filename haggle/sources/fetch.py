@@ -12,7 +12,7 @@ from collections.abc import Callable
 from urllib.request import Request, urlopen
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -52,6 +52,21 @@ def browser_get(url: str, timeout: float = 30.0, price_wait: float = 5.0) -> tup
             browser.close()
 
 
+def host_of(url) -> Column:
+    """The host and port of an address in lower case, without user names; '' if it has none."""
+    return F.lower(F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#]*)", 1))
+
+
+def fetched_row(url: str | None, way: Getter) -> tuple:
+    """``http_status, final_url, title, html, fetch_error`` of an address; a failure is its row's error."""
+    try:
+        if url is None:
+            raise ValueError("no address")
+        return (*way(url), None)
+    except Exception as error:
+        return (None, url, None, None, f"{type(error).__name__}: {error}")
+
+
 def fetch_pages(addresses: DataFrame, get: Getter = http_get, render: Getter = browser_get, delay: float = 1.0) -> DataFrame:
     """``addresses`` (url, and whatever else) with ``http_status, final_url, title, html, fetch_error``.
 
@@ -72,19 +87,12 @@ def fetch_pages(addresses: DataFrame, get: Getter = http_get, render: Getter = b
                 pause = asked.get(host, 0.0) + delay - time.monotonic() if host in asked else 0.0
                 if pause > 0:
                     time.sleep(pause)
-                try:
-                    if url is None:
-                        raise ValueError("no address")
-                    way = render if shown is not None and batch.column(shown)[i].as_py() else get
-                    rows.append((*way(url), None))
-                except Exception as error:  # one page's failure is that page's row
-                    rows.append((None, url, None, None, f"{type(error).__name__}: {error}"))
+                rows.append(fetched_row(url, render if shown is not None and batch.column(shown)[i].as_py() else get))
                 asked[host] = time.monotonic()
             arrays = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], [*kept, *arrow.names])
 
-    host = F.lower(F.regexp_extract("url", r"\A[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#]*)", 1))
-    dealt = addresses.select(*kept, host.alias("_host")).repartition("_host").sortWithinPartitions("_host", "url")
+    dealt = addresses.select(*kept, host_of(F.col("url")).alias("_host")).repartition("_host").sortWithinPartitions("_host", "url")
     return dealt.mapInArrow(run, kind)
 
 

@@ -57,8 +57,13 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_a_limit_by_row_gathers_no_products_in_one_task(spark):
     """What a request's last ranking reads has been limited in parts before it."""
     plan = queries.QUERIES["crawl_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    gathered = plan.index("Exchange SinglePartition")
-    assert "rank" in plan[:gathered] and "Filter (_rank" in plan[gathered:].split("Exchange hashpartitioning")[0]
+    last = plan.index("Exchange hashpartitioning(request_id")
+    ranked, limited = plan[:last], plan[last:].split("Exchange hashpartitioning(", 2)
+    assert "Window [row_number() windowspecdefinition(request_id" in ranked and "_deal" not in ranked
+    # Between the last exchange and the one before it, only what a part lets through is kept.
+    assert "Filter" in limited[1] and "_rank" in limited[1] and "<= limit" in limited[1]
+    assert "Window [row_number() windowspecdefinition(request_id" in limited[1] and "_deal" in limited[1]
+    assert limited[2].split(",")[1].strip().startswith("_deal")
 
 
 def test_entry_runs(spark):
