@@ -18,6 +18,7 @@ from haggle.registered import query
 from haggle.session import shared_folder
 from haggle.sources import api, config, files, page_source
 from haggle.sources.registry import sources_frame
+from haggle.streaming import imports
 
 # -- feeds -----------------------------------------------------------------------------------------------
 
@@ -112,21 +113,63 @@ STORED_SQL = f"""
 """
 
 
-def _store(spark, sf) -> ProductStore:
-    """A store after two imports, the second of which offers the first one's rows again."""
+def _offered(spark, sf):
     link = F.when(F.col("n") % 5 != 0, F.concat(F.lit("https://x.example/"), F.col("n") % 70))
-    offered = items(spark, sf).select(
+    return items(spark, sf).select(
         "n", F.col("p_name").alias("product_name"), F.col("amount").cast("double").alias("price"), link.alias("product_url"), F.col("p_type").alias("data_source"), F.lit("test").alias("platform")
     )
-    store = ProductStore(spark, shared_folder(spark, "store"))
+
+
+def _store(spark, sf) -> ProductStore:
+    """A store after two imports, the second of which offers the first one's rows again."""
+    store, offered = ProductStore(spark, shared_folder(spark, "store"), buckets=4), _offered(spark, sf)
     store.add_new(offered.where("n % 2 = 0"), ("n",))
     store.add_new(offered, ("n",))
     return store
 
 
-@query(f"WITH {STORED_SQL} SELECT id::BIGINT AS id, product_name, price, product_url, data_source, 'KRW' AS currency, 'unknown' AS condition FROM stored")
+STORED_ROWS_SQL = f"WITH {STORED_SQL} SELECT id::BIGINT AS id, product_name, price, product_url, data_source, 'KRW' AS currency, 'unknown' AS condition FROM stored"
+_STORED = ("id", "product_name", "price", "product_url", "data_source", "currency", "condition")
+
+
+@query(STORED_ROWS_SQL)
 def store_imports(spark, sf):
-    return _store(spark, sf).products.select("id", "product_name", "price", "product_url", "data_source", "currency", "condition")
+    return _store(spark, sf).products.select(*_STORED)
+
+
+@query(STORED_ROWS_SQL)
+def store_replay(spark, sf):
+    """Named batches that come twice, products without a link among them."""
+    store, offered = ProductStore(spark, shared_folder(spark, "store"), buckets=4), _offered(spark, sf)
+    for batch, rows in (("one", offered.where("n % 2 = 0")), ("one", offered.where("n % 2 = 0")), ("two", offered), ("one", offered), ("two", offered)):
+        store.add_new(rows, ("n",), batch)
+    return store.products.select(*_STORED)
+
+
+@query(STORED_ROWS_SQL)
+def store_stream(spark, sf):
+    """The same rows from a stream, whose first micro-batch is replayed as after a failure behind the store."""
+    folder = shared_folder(spark, "stream")
+    store, offered = ProductStore(spark, f"{folder}/store", buckets=4), _offered(spark, sf)
+
+    def run():
+        rows = spark.readStream.schema(offered.schema).parquet(f"{folder}/in")
+        imports.import_stream(rows, store, f"{folder}/checkpoint", ("n",)).awaitTermination()
+
+    offered.where("n % 2 = 0").write.parquet(f"{folder}/in")
+    run()
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoint/commits/0")
+    done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, False)
+    run()
+    offered.write.mode("append").parquet(f"{folder}/in")
+    run()
+    return store.products.select(*_STORED)
+
+
+@query(f"WITH {STORED_SQL} SELECT id::BIGINT AS id, product_name, data_source FROM stored WHERE lower(product_name) LIKE '%ed_ring%' OR lower(data_source) LIKE '%ed_ring%' ORDER BY id DESC LIMIT 50")
+def store_search(spark, sf):
+    """A search by the posting table of the store's files."""
+    return _store(spark, sf).search("eD_Ring").select("id", "product_name", "data_source")
 
 
 @query(

@@ -13,11 +13,11 @@ from haggle.operators.summary import latest_run
 def import_stream(products: DataFrame, store: ProductStore, checkpoint: str, order: tuple[str, ...] = ("product_url",), available_now: bool = True) -> StreamingQuery:
     """Append each micro-batch's products whose link is not stored yet.
 
-    A batch that is replayed after a failure finds its links stored, so it adds nothing twice
-    (products without a link are stored again, as in a batch import)."""
+    A micro-batch is stored under the name of the stream's checkpoint and its number, so one that is replayed after a
+    failure adds nothing twice, products without a link included."""
 
-    def add(batch: DataFrame, _batch_id: int) -> None:
-        store.add_new(batch, order)
+    def add(batch: DataFrame, number: int) -> None:
+        store.add_new(batch, order, f"{checkpoint}#{number}")
 
     writer = products.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
