@@ -173,9 +173,19 @@ def valid_http(url: Column) -> Column:
     return url.isNull() | url.rlike(r"\A(?i:https?)://[^/?#]+")
 
 
+def bare_host(url: Column) -> Column:
+    """The host in lower case, without user and port."""
+    return F.lower(F.regexp_extract(part(url, 2), r"\A(?:[^@]*@)?([^:]*)", 1))
+
+
+def host_suffixes(host: Column) -> Column:
+    """A host and all domains it is under."""
+    return let(F.split(host, r"\."), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
+
+
 def host_matches(url: Column, domain: Column) -> Column:
     """The host is the domain or under it."""
-    host = F.lower(F.regexp_extract(part(url, 2), r"\A(?:[^@]*@)?([^:]*)", 1))
+    host = bare_host(url)
     return (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
 
 

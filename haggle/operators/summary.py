@@ -73,10 +73,15 @@ def missing_counts(columns=MISSING) -> list[Column]:
 
 
 def benchmark_summary(products: DataFrame, by: str = "query") -> DataFrame:
-    """One row for each query and one (null query) for all; sellers of all queries count once."""
-    per = products.groupBy(by).agg(*quality_aggregates())
-    overall = products.agg(*quality_aggregates()).withColumn(by, F.lit(None).cast("string"))
-    return per.unionByName(overall)
+    """One row for each query and one (null query) for all; sellers of all queries count once.
+
+    Products are read once, for both kinds of rows; without any, there is the row for all alone."""
+    sets = products.groupingSets([[by], []], by).agg(*quality_aggregates(), F.grouping_id().alias("_all"))
+    # Grouping sets give no row for all where there is nothing to group.
+    nothing = products.limit(0).agg(*quality_aggregates()).withColumns({by: F.lit(None).cast(products.schema[by].dataType), "_all": F.lit(1).cast("bigint")})
+    found = sets.withColumn("_place", F.lit(0)).unionByName(nothing.withColumn("_place", F.lit(1)))
+    first = F.row_number().over(Window.partitionBy(by, "_all").orderBy("_place"))
+    return found.withColumn("_first", first).where("_first = 1").drop("_all", "_place", "_first")
 
 
 def file_summary(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggle.functions.urls import host_matches
+from haggle.functions.urls import bare_host, host_suffixes
 
 NEEDED = ("product_card", "product_name", "price", "product_url")
 
@@ -139,8 +139,12 @@ def configs_frame(spark: SparkSession, configs: list[SiteConfig]) -> DataFrame:
 
 
 def configured_pages(pages: DataFrame, configs: DataFrame) -> DataFrame:
-    """Pages with the first configuration of their host; a page of an unknown host has none."""
-    hosts = configs.select("config_ord", F.explode("domains").alias("domain"))
-    # Configured hosts are few; the join is by suffix, so they go to all workers.
-    first = pages.join(F.broadcast(hosts), host_matches(F.col("url"), F.col("domain"))).groupBy("url").agg(F.min("config_ord").alias("config_ord"))
-    return pages.join(first, "url", "left").join(F.broadcast(configs.drop("domains")), "config_ord", "left")
+    """Pages with the first configuration of their host; a page of an unknown host has none.
+
+    Each host is looked up once, by itself and the domains it is under, so the join is one by equal keys; the pages
+    then take their host's configuration."""
+    domains = configs.select("config_ord", F.explode("domains").alias("domain")).groupBy("domain").agg(F.min("config_ord").alias("config_ord"))
+    hosted = pages.withColumn("_host", bare_host(F.col("url")))
+    asked = hosted.select("_host").where("_host <> ''").distinct().select("_host", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
+    known = asked.join(domains, "domain").groupBy("_host").agg(F.min("config_ord").alias("config_ord"))
+    return hosted.join(known, "_host", "left").drop("_host").join(F.broadcast(configs.drop("domains")), "config_ord", "left")

@@ -411,3 +411,21 @@ def test_search_is_ascii_case_insensitive_with_wildcards(spark):
     assert [hit("a_B"), hit("ä"), hit("b\\C"), hit("%")] == [1, 0, 1, 2]
 
 
+
+
+def test_pages_find_their_configuration_by_equal_keys(spark):
+    sites = [config.SiteConfig(n, {}, domains=d) for n, d in (("a", ("x.example", "b.example")), ("b", ("shop.x.example", "b.example")), ("c", ("example",)))]
+    urls = ["https://shop.x.example/1", "https://X.example:8080/", "http://u:p@deep.b.example/", "https://notx.example/", "https://other.org/", "no address", None, "https://x.example/1", "https://x.example/1"]
+    known = config.configured_pages(spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, i int"), config.configs_frame(spark, sites))
+    assert [r.name for r in known.orderBy("i").collect()] == ["a", "a", "a", "c", None, None, None, "a", "a"]
+    assert "NestedLoop" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_benchmark_summary_reads_its_products_once(spark, tmp_path):
+    rows = [("q", 1.0, "s"), ("q", None, "t"), (None, 2.0, "s"), ("r", 3.0, "")]
+    spark.createDataFrame(rows, "query string, price double, seller string").write.parquet(str(tmp_path / "p"))
+    products = spark.read.parquet(str(tmp_path / "p")).withColumns({c: F.lit(None).cast("string") for c in ("shipping_fee", "product_url", "detail_description")})
+    found = summary.benchmark_summary(products)
+    assert sorted(((r.query or "", r.product_count, r.seller_count) for r in found.collect())) == [("", 1, 1), ("", 4, 2), ("q", 2, 2), ("r", 1, 0)]
+    assert summary.benchmark_summary(products)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert [r.product_count for r in summary.benchmark_summary(products.limit(0)).collect()] == [0]
