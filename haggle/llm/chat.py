@@ -8,7 +8,7 @@ string can come from a text and reading back is exact; roles also write a newlin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -33,7 +33,7 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
-    """Rows ``conv_id, formatted, loss_spans array<struct<start, length>>`` (code points, from 0).
+    """Rows ``conv_id, formatted, loss_spans array<struct<start, length, turn>>`` (code points, and turns, from 0).
 
     ``loss_spans`` covers the escaped texts of role ``learn``: one span for each original turn.
     A null role or text reads as empty; turns with a null or an equal ``turn`` follow by role and
@@ -46,82 +46,55 @@ def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    # What stands before each turn's text: a turn of the role before it goes on in its block, and the first turn
+    # has no block to close.
+    before = lambda i: F.element_at("turns", F.greatest(i, F.lit(1)))["role"]
     step = F.transform(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        lambda i: F.struct(
-            F.element_at("turns", i + 1)["role"].alias("role"),
-            escape(F.element_at("turns", i + 1)["text"]).alias("text"),
-            ((i > 0) & (F.element_at("turns", F.greatest(i, F.lit(1)))["role"] == F.element_at("turns", i + 1)["role"])).alias("joins"),
+        "turns",
+        lambda t, i: F.struct(
+            F.when((i > 0) & (before(i) == t["role"]), F.lit(SEP))
+            .otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), escape_role(t["role"]), F.lit("\n")))
+            .alias("head"),
+            escape(t["text"]).alias("text"),
+            (t["role"] == learn).alias("learn"),
         ),
     )
-    parts = sorted_turns.select("conv_id", step.alias("step")).select(
-        "conv_id",
-        "step",
-        # What stands before each turn's text; the first turn has no block to close.
-        F.transform(
-            "step",
-            lambda t, i: F.when(t["joins"], F.lit(SEP)).otherwise(
-                F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), escape_role(t["role"]), F.lit("\n"))
-            ),
-        ).alias("heads"),
+    # Positions are a running sum over the turns of a conversation, which the grouping has left together, so
+    # nothing is shuffled again and the work grows with the turns, not with their square.
+    steps = sorted_turns.select("conv_id", F.posexplode(step).alias("turn", "s")).select("conv_id", "turn", "s.*")
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.length("text").cast("bigint")
+    start = F.coalesce(F.sum(F.length("head") + length).over(so_far), F.lit(0)) + F.length("head")
+    placed = steps.withColumn("start", start.cast("bigint"))
+    span = F.struct("start", length.alias("length"), F.col("turn").cast("bigint").alias("turn"))
+    merged = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", F.concat("head", "text").alias("piece")))).alias("pieces"),
+        F.array_sort(F.collect_list(F.when(F.col("learn"), span))).alias("loss_spans"),
     )
-    formatted = F.concat(
-        F.array_join(F.zip_with("heads", "step", lambda h, t: F.concat(h, t["text"])), ""), F.lit(END)
-    )
-    # The running position is kept in the fold together with the spans found so far.
-    folded = F.aggregate(
-        F.arrays_zip("heads", "step"),
-        F.struct(
-            F.lit(0).cast("bigint").alias("at"),
-            F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"),
-        ),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["heads"]) + F.length(x["step"]["text"])).alias("at"),
-            F.when(
-                x["step"]["role"] == learn,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["heads"])).alias("start"),
-                            F.length(x["step"]["text"]).cast("bigint").alias("length"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return parts.select("conv_id", formatted.alias("formatted"), folded.alias("loss_spans"))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), F.lit(END))
+    return merged.select("conv_id", formatted.alias("formatted"), "loss_spans")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """Read :func:`format_chats` back: ``conv_id, turns array<struct<role, text>>, loss_text``."""
+    """Read :func:`format_chats` back: ``conv_id, turns array<struct<role, text>>, loss_text``.
+
+    The loss is taken from the turns that the spans name; a span whose length is not its turn's is an error."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
-    turns = F.flatten(
+    shown = F.flatten(
         F.transform(
             blocks,
             lambda b: F.transform(
                 F.split(F.substring(b, F.instr(b, "\n") + 1, F.length(b)), r"<\|im_sep\|>"),
-                lambda t: F.struct(
-                    unescape_role(
-                        F.substring(b, F.lit(len(START) + 1), F.instr(b, "\n") - 1 - len(START))
-                    ).alias("role"),
-                    unescape(t).alias("text"),
-                ),
+                lambda t: F.struct(F.substring(b, F.lit(len(START) + 1), F.instr(b, "\n") - 1 - len(START)).alias("role"), t.alias("text")),
             ),
         )
     )
-    loss = F.array_join(
-        F.transform(
-            "loss_spans",
-            lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))),
-        ),
-        "",
-    )
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
+    found = formatted.select("conv_id", "formatted", "loss_spans", shown.alias("shown"))
+    told = lambda s: F.element_at("shown", (s["turn"] + 1).cast("int"))["text"]
+    wrong = F.lit("a loss span does not fit its turn")
+    loss = F.transform("loss_spans", lambda s: F.when(F.length(told(s)) == s["length"], unescape(told(s))).otherwise(F.raise_error(wrong)))
+    turns = F.transform("shown", lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+    return found.select("conv_id", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"), "formatted")
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
