@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,6 +29,8 @@ BITS_PER_ENTRY, PROBES = 10, 7
 PAIR_WEIGHT = 0.4
 #: N-grams held in a task before they are summed and sent on.
 HELD = 1 << 21
+#: Bytes of text for which the filter has one shard, so a shard's n-grams are bounded whatever the corpus.
+SHARD_BYTES = 8 << 20
 #: Bytes of text whose n-grams are asked of the shards together.
 CHUNK_BYTES = 8 << 20
 
@@ -234,32 +236,43 @@ def shard_counts(docs: DataFrame, shards: int, id_col: str) -> DataFrame:
 def train(docs: DataFrame, shards: int, pair_min: int, id_col: str = "doc_id") -> DataFrame:
     """One row for each shard: exact words and counts, the filter, totals."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        def both(kind):
-            own = rows[rows["kind"] == kind]
-            keys = [np.frombuffer(x, np.uint64) for x in own["keys"]]
-            counts = [np.frombuffer(x, np.uint8 if len(x) == len(k) else np.uint32).astype(np.uint32) for x, k in zip(own["counts"], keys)]
-            return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    class Tally:
+        """Keys and counts, summed whenever enough of them have come."""
 
-        words, counts = both(0)
-        pairs, pair_counts = both(1)
+        def __init__(self):
+            self.keys, self.counts, self.size = [], [], 0
+
+        def add(self, keys: bytes, counts: bytes) -> None:
+            self.keys.append(np.frombuffer(keys, np.uint64))
+            self.counts.append(np.frombuffer(counts, np.uint8 if len(counts) * 8 == len(keys) else np.uint32).astype(np.int64))
+            self.size += len(self.keys[-1])
+            if self.size > HELD and len(self.keys) > 1:
+                self.sums()
+                self.size = 0
+
+        def sums(self) -> tuple[np.ndarray, np.ndarray]:
+            if self.keys:
+                keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+                self.keys, self.counts = [keys], [counts]
+            return (self.keys[0], self.counts[0]) if self.keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies, texts = (Tally(), Tally()), 0
+        for batch in batches:
+            for kind, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "counts"))):
+                if kind == 2:
+                    texts += int(np.frombuffer(counts, np.uint32)[0])
+                else:
+                    tallies[kind].add(keys, counts)
+        (words, counts), (pairs, pair_counts) = (t.sums() for t in tallies)
         pairs, pair_counts = pairs[pair_counts >= pair_min], pair_counts[pair_counts >= pair_min]
-        texts = sum(int(np.frombuffer(x, np.uint32)[0]) for x in rows["counts"][rows["kind"] == 2])
         bits = build_filter(np.concatenate([words, pairs]), np.concatenate([counts, pair_counts]))
-        return pd.DataFrame(
-            {
-                "shard": [int(rows["shard"].iloc[0])],
-                "words": [words.tobytes()],
-                "counts": [packed(counts)],
-                "filter": [bits.tobytes()],
-                "total": [int(counts.sum())],
-                "distinct": [len(words)],
-                "texts": [texts],
-            }
-        )
+        row = (key[0].as_py(), words.tobytes(), packed(counts), bits.tobytes(), int(counts.sum()), len(words), texts)
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "words", "counts", "filter", "total", "distinct", "texts"])
 
     schema = "shard int, words binary, counts binary, filter binary, total bigint, distinct bigint, texts bigint"
-    return shard_counts(docs, shards, id_col).groupBy("shard").applyInPandas(merge, schema)
+    return shard_counts(docs, shards, id_col).groupBy("shard").applyInArrow(merge, schema)
 
 
 COLUMNS = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -279,7 +292,8 @@ def lm_scores(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     parts = cut(train(docs, shards, pair_min, id_col))
     facts = parts.agg(
         F.sum("total").alias("total"),
@@ -386,18 +400,23 @@ def _routed(docs: DataFrame, parts: DataFrame, shards: int, total: int, distinct
         if held:
             yield send(chunk, held)
 
-    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-        words, pairs = _gathered(asked["words"], np.uint64), _gathered(asked["pairs"], np.uint64)
-        exact, level_of_word, level_of_pair = (np.zeros(n, t) for n, t in ((len(words), np.int64), (len(words), np.uint8), (len(pairs), np.uint8)))
-        if part.num_rows and asked.num_rows:
-            own, counts = part["words"][0].as_py(), part["counts"][0].as_py()
-            exact = found_in(np.frombuffer(own, np.uint64), unpacked(counts, own), words)
-            bits = np.frombuffer(part["filter"][0].as_py(), np.uint8)
-            level_of_word, level_of_pair = (probed(bits, x, len(bits) * 8).astype(np.uint8) for x in (words, pairs))
-        bounds_of = lambda c: np.concatenate([[0], np.cumsum(pc.binary_length(asked[c]).to_numpy() // 8)]).astype(np.int64)
-        w, p = bounds_of("words"), bounds_of("pairs")
-        columns = [asked["chunk"], asked["shard"], _binaries(exact, w), _binaries(level_of_word, w), _binaries(level_of_pair, p)]
-        return pa.Table.from_arrays(columns, ["chunk", "shard", "exact", "word_level", "pair_level"])
+    def answer(batches):
+        """Questions stream past their shard's row, which comes before them."""
+        held, own, counts, bits = None, np.empty(0, np.uint64), np.empty(0, np.uint32), None
+        for batch in batches:
+            out = []
+            for shard, chunk, words, pairs, known, bloom in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != held:
+                    held, own, counts, bits = shard, np.empty(0, np.uint64), np.empty(0, np.uint32), None
+                if chunk is None:
+                    own, counts, bits = np.frombuffer(words, np.uint64), unpacked(known, words), np.frombuffer(bloom, np.uint8)
+                    continue
+                words, pairs = np.frombuffer(words, np.uint64), np.frombuffer(pairs, np.uint64)
+                level_of = lambda x: (np.zeros(len(x), np.uint8) if bits is None else probed(bits, x, len(bits) * 8).astype(np.uint8))
+                out.append((chunk, shard, found_in(own, counts, words).tobytes(), level_of(words).tobytes(), level_of(pairs).tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["chunk", "shard", "exact", "word_level", "pair_level"])
 
     def score(own: pa.Table, answers: pa.Table) -> pa.Table:
         token, before, pair, n = grams([v.as_py() or "" for v in own["text"]])
@@ -419,8 +438,10 @@ def _routed(docs: DataFrame, parts: DataFrame, shards: int, total: int, distinct
         return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], [id_col, *(c.split()[0] for c in COLUMNS.split(", "))])
 
     asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk bigint, shard int, words binary, pairs binary")
-    answers = (
-        asked.groupBy("shard").cogroup(parts.select("shard", "words", "counts", "filter").groupBy("shard"))
-        .applyInArrow(answer, "chunk bigint, shard int, exact binary, word_level binary, pair_level binary")
+    nothing = F.lit(None).cast("binary")
+    rows = parts.select("shard", F.lit(None).cast("bigint").alias("chunk"), "words", nothing.alias("pairs"), "counts", "filter").unionByName(
+        asked.select("shard", "chunk", "words", "pairs", nothing.alias("counts"), nothing.alias("filter"))
     )
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("chunk"))
+    answers = dealt.mapInArrow(answer, "chunk bigint, shard int, exact binary, word_level binary, pair_level binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, {COLUMNS}")
