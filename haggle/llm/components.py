@@ -17,7 +17,7 @@ HEAVY, COUNTERS = 1000, 1 << 14
 
 
 def heavy_keys(df: DataFrame, key: str) -> list[int]:
-    """Hashes of the keys of at least one in ``HEAVY`` rows, so at most so many, by a sketch of fixed size."""
+    """Hashes (``xxhash64``) of the keys of at least one in ``HEAVY`` rows, so at most so many, by a sketch of fixed size."""
     with nothing_left(df.sparkSession):
         row = df.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(xxhash64({key}), {HEAVY}, {COUNTERS})").alias("top")).first()
     return [r["item"] for r in row["top"] if r["count"] * HEAVY >= row["rows"]]
@@ -48,13 +48,12 @@ def _state(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame, split: bool = False) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Rows ``node, root`` for every node of ``links`` (columns a, b); root is the smallest node.
 
     Every round first ties the larger neighbours of each node to its smallest one, then the
-    smaller neighbours, and ends when the links are stars.  Links stay distributed; each round is
-    cut off in the checkpoint folder.  With ``split`` the links of heavy nodes are joined by broadcast,
-    for some more exchanges in a round; without it adaptive plans split such joins.
+    smaller neighbours, and ends when the links are stars.  Links stay distributed, those of a node of very
+    many are joined where they are; each round is cut off in the checkpoint folder.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(links)
@@ -63,11 +62,10 @@ def components(links: DataFrame, split: bool = False) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         # The centre of a large group has a link to each of its nodes.
         larger = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        joined = keyed_join(larger, least, "a") if split else larger.join(least, "a")
-        large = joined.select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        large = cut(keyed_join(larger, least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(least, "a")
+            keyed_join(large, least, "a")
             .where("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))

@@ -206,13 +206,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         return step
 
     sketched = cut(map_arrow(distinct, coded, "node binary, vector binary, copies bigint, codes array<int>"))
-    size = (
-        sketched.select(F.posexplode("codes").alias("table", "code")).groupBy("table", "code").agg(F.count("*").alias("n")).where("n > 1")
-    )
-    blocks = size.select("table", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    coded_rows = sketched.select("node", F.posexplode("codes").alias("table", "code")).withColumn("bucket", F.struct("table", "code"))
+    size = coded_rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = size.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        sketched.select("node", "copies", F.posexplode("codes").alias("table", "code"))
-        .join(blocks, ["table", "code"])
+        keyed_join(coded_rows, blocks, "bucket")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("node", "table", "code", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
@@ -235,7 +233,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
                         yield pa.RecordBatch.from_arrays([node.take(pa.array(at[a])), node.take(pa.array(at[b])), pa.array(links)], ["a", "b", "links"])
 
     found = cut(dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "a binary, b binary, links bigint"))
-    roots = components(found.select("a", "b"), split=True)
+    roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     facts = distinct.select("node", "copies").join(links, "node", "left").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")

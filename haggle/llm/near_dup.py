@@ -124,11 +124,29 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, make, f"id {kind}, node binary, empty boolean, bands array<bigint>, slots binary")
 
 
+#: Nodes that a task remembers having named; it bounds a worker's memory.
+REMEMBERED = 1 << 17
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text``: one text for each wanted node."""
+    """``node, text``: one text for each wanted node.
+
+    A task names a text once, so the copies of one text, however many, bring a row for each task."""
 
     def name():
-        return lambda batch: {"node": [node_of(v.as_py()) for v in batch.column(0)], "text": batch.column(0)}
+        seen: set[bytes] = set()
+
+        def step(batch):
+            nodes, kept = [node_of(v.as_py()) for v in batch.column(0)], []
+            for i, node in enumerate(nodes):
+                if node not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
+                    kept.append(i)
+            return {"node": [nodes[i] for i in kept], "text": batch.column(0).take(pa.array(kept, pa.int32()))}
+
+        return step
 
     named = map_arrow(docs.select(F.coalesce("text", F.lit("")).alias("text")), name, "node binary, text string")
     return named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
@@ -184,7 +202,7 @@ def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roo
     a near one of another component; only these bring their texts, and their pairs are verified
     from the nearest on, skipping those that earlier links have joined.
     """
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_buckets = (
         rooted.groupBy("bucket")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
@@ -193,7 +211,7 @@ def residual_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, roo
     )
     slots = sketched.select("node", "slots").dropDuplicates(["node"])
     rows = (
-        rooted.join(open_buckets, "bucket")
+        keyed_join(rooted, open_buckets, "bucket")
         .join(slots, "node")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
