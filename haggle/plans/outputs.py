@@ -1,12 +1,11 @@
 """What results are written as: JSON files, review drafts and text reports.
 
-A crawl result or a saved-page result is one document by its nature, so its rows are gathered into
-one; both are bounded by the request's limit or by the files merged.  Everything else is written
-by Spark as it is."""
+A crawl result is one document by its nature, so its rows are gathered into one, which the request's limit
+bounds; a saved-page result is one file, written line by line.  Everything else is written by Spark as it is."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -20,10 +19,16 @@ def _listed(rows: DataFrame, order: list[str], columns: list[str], by: list[str]
 
 
 def write_result(products: DataFrame, summary: DataFrame, order: list[str], path: str) -> None:
-    """``{summary, products}``: one summary row and the products in ``order``."""
-    listed = _listed(products, order, products.columns, [])
-    whole = summary.select(F.struct("*").alias("summary")).crossJoin(listed)  # one row each
-    whole.select(F.to_json(F.struct("summary", "products"), KEEP_NULLS).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """``{summary, products}`` as one JSON file: one summary row and the products in ``order``, a line for each.
+
+    Lines are sorted and written one after the other, so the file's size is not the size of a row."""
+    said = lambda x: F.to_json(x, KEEP_NULLS)
+    listed = products.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy(*order)).alias("n"), said(F.struct(*products.columns)).alias("value"))
+    listed = listed.withColumn("value", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "value"))
+    first = summary.select(F.lit(0).alias("part"), F.lit(0).alias("n"), F.concat(F.lit('{"summary":'), said(F.struct("*")), F.lit(',"products":[')).alias("value"))
+    last = summary.select(F.lit(2).alias("part"), F.lit(0).alias("n"), F.lit("]}").alias("value"))
+    lines = first.unionByName(listed).unionByName(last).repartition(1).sortWithinPartitions("part", "n")
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def write_list(products: DataFrame, path: str) -> None:

@@ -549,4 +549,4 @@ def json_walk(spark, sf):
     return frames.json_nodes(rows, "json").select("event_id", "ord", "node")
 
 
-from haggle import queries_feeds, queries_pages  # noqa: E402, F401
+from haggle import queries_feeds, queries_pages, queries_results  # noqa: E402, F401

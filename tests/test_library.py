@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime
 from urllib.parse import parse_qs, urlencode, urljoin, urlparse, urlunparse
 
 import pytest
@@ -361,7 +362,8 @@ def test_merge_of_saved_pages(spark, tmp_path):
     _, summary_rows = merge.saved_rows(pages)
     assert sorted((s.total_before_dedup, s.total_after_dedup, s.duplicate_count) for s in summary_rows.collect()) == [(2, 2, 0), (4, 3, 1)]
     outputs.write_result(products.select("source_file", "item_ord", "product_name", "dedupe_key"), run, ["source_file", "item_ord"], str(tmp_path / "out"))
-    text = spark.read.text(str(tmp_path / "out")).first()[0]
+    (file,) = (tmp_path / "out").glob("part-*")
+    text = file.read_text()
     assert [p["product_name"] for p in json.loads(text)["products"]] == ["광고 1", "일반 1", "일반 2", "셋"]
     with pytest.raises(Exception):
         files.html_pages(spark, str(tmp_path / "missing")).count()
@@ -429,3 +431,24 @@ def test_a_benchmark_summary_reads_its_products_once(spark, tmp_path):
     assert sorted(((r.query or "", r.product_count, r.seller_count) for r in found.collect())) == [("", 1, 1), ("", 4, 2), ("q", 2, 2), ("r", 1, 0)]
     assert summary.benchmark_summary(products)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert [r.product_count for r in summary.benchmark_summary(products.limit(0)).collect()] == [0]
+
+
+def test_the_latest_run_is_kept_as_state_over_restarts(spark, tmp_path):
+    shape = "id long, source_name string, status string, response_time_ms double, error_message string, started_at timestamp"
+    spark.conf.set(*imports.STATE_STORE)
+
+    def run(rows):
+        at = lambda t: datetime(2024, 1, 1, 0, t)
+        spark.createDataFrame([(i, s, st, ms, e, at(t)) for i, s, st, ms, e, t in rows], shape).write.mode("append").parquet(str(tmp_path / "runs"))
+        stream = imports.latest_run_updates(spark.readStream.schema(shape).parquet(str(tmp_path / "runs")))
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(120)
+        return sorted((r.data_source, r.last_id, r.last_status, r.last_error_message) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    try:
+        first = [("a", 2, "success", None), ("b", 3, "failed", "e")]
+        assert run([(1, "a", "failed", 1.0, "x", 5), (2, "a", "success", None, None, 5), (3, "b", "failed", 2.0, "e", 1)]) == first
+        # A late run changes nothing; an equal start goes by id.
+        assert run([(9, "a", "failed", 1.0, "late", 4), (4, "b", "success", 1.0, None, 1), (5, "c", "success", 1.0, None, 9)]) == sorted([*first, ("b", 4, "success", None), ("c", 5, "success", None)])
+    finally:
+        spark.conf.unset(imports.STATE_STORE[0])
