@@ -16,7 +16,7 @@ from haggle.plans.shop_pages import ITEMS_SQL, asked, items, pages
 from haggle.queries_pages import ORD
 from haggle.registered import query
 from haggle.session import shared_folder
-from haggle.sources import api, config, files, page_source
+from haggle.sources import api, config, connectors, files, page_source
 from haggle.sources.registry import sources_frame
 from haggle.streaming import imports
 
@@ -43,6 +43,19 @@ def ebay_items(spark, sf):
     return api.ebay_products(answers).drop("platform", "data_source")
 
 
+@query(
+    """SELECT DISTINCT p_name AS query, 'https://api.ebay.com/buy/browse/v1/item_summary/search?q=' || replace(p_name, ' ', '+') || '&limit=200' AS browse,
+      'http://openapi.11st.co.kr/openapi/OpenApiService.tmall?key=k+1&apiCode=ProductSearch&keyword=' || replace(p_name, ' ', '+') || '&pageNum=1&pageSize=30' AS open_api FROM part"""
+)
+def api_requests(spark, sf):
+    """The searches that the API collectors send for the names of parts."""
+    from haggle.plans.views import read
+
+    asked = read(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
+    both = connectors.elevenst_requests(connectors.ebay_requests(asked, 500).withColumnRenamed("url", "browse"), "k 1", 30)
+    return both.withColumnRenamed("url", "open_api")
+
+
 @query(
     f"""WITH {ITEMS_SQL}
     SELECT {ORD}, CASE n % 3 WHEN 0 THEN p_name ELSE 'Untitled 11st product' END AS product_name, CASE n % 3 WHEN 2 THEN NULL ELSE amount END::DOUBLE AS price,

@@ -24,9 +24,9 @@ FETCHED = "http_status int, final_url string, title string, html string, fetch_e
 TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
 
 
-def http_get(url: str, timeout: float = 30.0) -> tuple[int | None, str, str, str]:
+def http_get(url: str, timeout: float = 30.0, headers: dict[str, str] | None = None) -> tuple[int | None, str, str, str]:
     """A plain request."""
-    with urlopen(Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as answer:
+    with urlopen(Request(url, headers={"User-Agent": AGENT, **(headers or {})}), timeout=timeout) as answer:
         text = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
         found = TITLE.search(text)
         return answer.status, answer.url, " ".join(found[1].split()) if found else "", text

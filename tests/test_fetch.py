@@ -1,14 +1,18 @@
 """Fetching, the local shop, debug files and the HTTP surface."""
 
+import json
 import threading
 import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 from urllib.request import Request, urlopen
-import json
+
+import pytest
 
 from haggle import serve
 from haggle.engine import Engine
 from haggle.plans import collect, outputs
-from haggle.sources import config, fetch
+from haggle.sources import config, connectors, fetch
 from haggle.sources.local_shop import SELECTORS, shop_server
 
 
@@ -66,3 +70,63 @@ def test_http_surface(spark, tmp_path):
             assert {s["source_name"] for s in json.loads(r.read())} == {"ok", "down", "d"}
     finally:
         server.shutdown()
+
+
+class Market(BaseHTTPRequestHandler):
+    """Both APIs on this machine; what they were asked stays in ``asked``."""
+
+    asked: list = []
+
+    def say(self, text, status=200):
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(text.encode())
+
+    def do_POST(self):
+        form = self.rfile.read(int(self.headers["Content-Length"])).decode()
+        self.asked.append(("token", self.headers["Authorization"], parse_qs(form)["grant_type"]))
+        self.say(json.dumps({"access_token": "t1"} if self.headers["Authorization"] == "Basic aWQ6c2VjcmV0" else {}))
+
+    def do_GET(self):
+        at, asked = urlsplit(self.path), parse_qs(urlsplit(self.path).query)
+        self.asked.append((at.path, self.headers["Authorization"], asked))
+        if at.path == "/ebay":
+            self.say(json.dumps({"itemSummaries": [{"title": f"{asked['q'][0]} {i}", "price": {"value": str(i)}} for i in range(3)]}))
+        elif asked.get("key") == ["k"]:
+            self.say("<R><Product><ProductName>" + asked["keyword"][0] + "</ProductName><ProductPrice>5원</ProductPrice></Product></R>")
+        elif asked.get("key") == ["old"]:
+            self.say("<R><Error><Code>9</Code><Message>expired</Message></Error></R>")
+        else:
+            self.say("no", 403)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_api_collectors_ask_and_collect(spark, tmp_path):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Market)
+    try:
+        base = running(server)
+        ebay = connectors.ebay_collector(spark, "id", "secret", "EBAY_DE", base + "/ebay", base + "/token")
+        made = {k: (connectors.elevenst_collector(spark, k, base + "/xml"), "shopping_mall", True, True) for k in ("k", "old", "bad")}
+        engine = Engine(spark, str(tmp_path), {"ebay": (ebay, "shopping_mall", True, True), **made})
+        assert engine.collect("ebay", "a b&c", 150)["product_count"] == 3
+        assert Market.asked[:1] == [("token", "Basic aWQ6c2VjcmV0", ["client_credentials"])]
+        assert {(p, auth, q["q"][0], q["limit"][0]) for p, auth, q in Market.asked[1:]} == {("/ebay", "Bearer t1", "a b&c", "150")}
+        # What is asked is asked once, though the products are checked and stored.
+        assert len(Market.asked) == 2
+        assert engine.collect("k", "갤럭시 +", 50)["product_count"] == 1
+        assert Market.asked[-1][2] == {"key": ["k"], "apiCode": ["ProductSearch"], "keyword": ["갤럭시 +"], "pageNum": ["1"], "pageSize": ["50"]}
+        for name, message in (("old", "API error 9: expired"), ("bad", "HTTP Error 403")):
+            with pytest.raises(RuntimeError, match=message):
+                engine.collect(name, "q")
+        assert sorted(r.product_name for r in engine.store.products.collect()) == ["a b&c 0", "a b&c 1", "a b&c 2", "갤럭시 +"]
+        with pytest.raises(RuntimeError):
+            connectors.client_token("id", "wrong", base + "/token")
+        for bad in (lambda: connectors.client_token("", "x"), lambda: engine.collect("ebay"), lambda: connectors.elevenst_collector(spark, None)("q", 5)):
+            with pytest.raises(RuntimeError):
+                bad()
+    finally:
+        server.shutdown()
+    assert [c[3] for c in connectors.api_collectors(spark, {"ELEVENST_API_KEY": "x"}).values()] == [False, True]
+    assert connectors.ebay_requests(spark.createDataFrame([("q",)], "query string"), 500).first().url.endswith("?q=q&limit=200")
