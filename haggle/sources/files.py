@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from haggle.functions.price import lenient_number
 from haggle.session import shared_folder
+from haggle.sources.csv_split import csv_rows
 
 # The names under which a field may stand in a file, in order.
 ALIASES = {
@@ -29,13 +30,6 @@ NUMBERS = ("price", "original_price", "shipping_fee")
 PAGE_FILES = "*.{[hH][tT][mM],[hH][tT][mM][lL]}"
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``fields map<string,string>, ord``: all columns as texts, in file order."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    pairs = [x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`"))]
-    return rows.select(F.create_map(*pairs).alias("fields"), F.monotonically_increasing_id().alias("ord"))
-
-
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON list, or of the first list under items, data, products or rows."""
     docs = spark.read.text(path, wholetext=True)
