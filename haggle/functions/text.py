@@ -70,14 +70,18 @@ def contains_any(value: Column, marks) -> Column:
 # -- conditions ---------------------------------------------------------------------------------
 
 
-def condition_of(text: Column, default: Column) -> Column:
+def condition_marks(text: Column) -> tuple[Column, Column, Column]:
+    """Whether a text speaks of used, of refurbished and of new goods."""
+    return text.rlike(USED), text.rlike(REFURBISHED), text.rlike(NEW)
+
+
+def condition_by(used: Column, refurbished: Column, new: Column, default: Column) -> Column:
     """Used before refurbished before new; blank default reads as unknown."""
-    return (
-        F.when(text.rlike(USED), "used")
-        .when(text.rlike(REFURBISHED), "refurbished")
-        .when(text.rlike(NEW), "new")
-        .otherwise(F.coalesce(present(default), F.lit("unknown")))
-    )
+    return F.when(used, "used").when(refurbished, "refurbished").when(new, "new").otherwise(F.coalesce(present(default), F.lit("unknown")))
+
+
+def condition_of(text: Column, default: Column) -> Column:
+    return condition_by(*condition_marks(text), default)
 
 
 def marketplace_condition(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haggle.functions.price import parse_price
 from haggle.functions.names import names
-from haggle.functions.text import condition_of, let, name_score, query_terms, squash
+from haggle.functions.text import condition_by, condition_marks, let, name_score, query_terms, squash
 from haggle.functions.urls import absolute_url, first_parameter, identity, part, unescape_html
 
 
@@ -57,28 +57,36 @@ def with_identity(candidates: DataFrame, absolute: bool = False) -> DataFrame:
     return named.withColumn("identity", identity(F.col("url"), F.col("source"), F.col("product_identity_params")))
 
 
-def _best_name(texts: Column) -> Column:
-    """The best name in a group's texts: direct names before inferred ones, then by fragment, then by place.
+def _name_states(names: list[Column]) -> dict[str, Column]:
+    """Aggregates from which a group's best name follows: direct names before inferred ones, then by fragment, then by
+    place.  Inferred joined names lose two points once the group has shown a direct name, in this fragment or
+    before it.
 
-    Inferred joined names lose two points once the group has shown a direct name, in this fragment or
-    before it."""
-    direct = F.filter(texts, lambda t: (t["i"] == 0) & t["names"]["plain"]["name"].isNotNull())
-    shown = F.array_min(F.transform(direct, lambda t: t["ord"]))
-    named = F.filter(texts, lambda t: t["names"]["plain"]["name"].isNotNull())
+    A fragment with a direct name of its own is never before the first one, so all but the fragments without are
+    summed up as maxima.  Those without bring their two best names each, for a group that has a direct name elsewhere."""
+    ord_ = F.col("ord")
 
-    def choose(first: Column) -> Column:
-        def one(t):
-            late = (t["i"] > 0) & F.coalesce(t["ord"] >= first, F.lit(False))
-            return let(
-                F.when(late, t["names"]["late"]).otherwise(t["names"]["plain"]),
-                lambda n: F.struct(
-                    n["score"].alias("score"), (t["i"] == 0).alias("direct"), (-t["ord"]).alias("row"), (t["i"] < 2).alias("part"), n["place"].alias("place"), n["name"].alias("name")
-                ),
-            )
+    def ranked(kind: str, i: int) -> Column:
+        n = names[i][kind]
+        told = F.struct(n["score"].alias("score"), F.lit(i == 0).alias("direct"), (-ord_).alias("row"), F.lit(i < 2).alias("part"), n["place"].alias("place"), n["name"].alias("name"))
+        return F.when(n["name"].isNotNull(), told)
 
-        return F.array_max(F.transform(named, one))
+    direct = names[0]["plain"]["name"].isNotNull()
+    plain, late = (F.greatest(ranked(kind, 1), ranked(kind, 2)) for kind in ("plain", "late"))
+    return {
+        "_first": F.min(F.when(direct, ord_)),
+        "_direct": F.max(ranked("plain", 0)),
+        "_late": F.max(F.when(direct, late)),
+        "_plain": F.max(F.when(~direct, plain)),
+        "_nameless": F.collect_list(F.when(~direct & plain.isNotNull(), F.struct(ord_.alias("ord"), plain.alias("plain"), late.alias("late")))),
+    }
 
-    return let(shown, choose)
+
+def _best_name() -> Column:
+    """The best name of the states of :func:`_name_states`."""
+    first = F.col("_first")
+    nameless = F.array_max(F.transform("_nameless", lambda n: F.when(n["ord"] >= first, n["late"]).otherwise(n["plain"])))
+    return F.when(first.isNull(), F.col("_plain")).otherwise(F.greatest("_direct", "_late", nameless))
 
 
 def _rewritten(url: Column, params: Column) -> Column:
@@ -98,10 +106,11 @@ def aggregate_group(rows: DataFrame, keys: list[str]) -> DataFrame:
     said = [squash(F.col(c)) for c in ("product_name", "description", "seller")]
     rows = rows.withColumns({f"_text{i}": t for i, t in enumerate(said)})
     rows = rows.withColumns({f"_names{i}": names(F.col(f"_text{i}"), F.col("query")) for i in range(3)})
-    # A group comes from one page's capped candidates, so its texts fit in a row.
-    texts = F.array(
-        *(F.struct(F.col("ord").alias("ord"), F.lit(i).alias("i"), F.col(f"_text{i}").alias("t"), F.col(f"_names{i}").alias("names")) for i in range(3))
-    )
+    found = [F.col(f"_names{i}") for i in range(3)]
+    # Marks hold no space, so texts may be looked at one fragment at a time.
+    marks = condition_marks(F.concat_ws(" ", "_text0", "_text1", "_text2"))
+    # Only a description needs the texts of a group side by side; a group comes from one page's capped candidates.
+    texts = F.array(*(F.struct(F.col("ord").alias("ord"), F.lit(i).alias("i"), found[i]["clean"].alias("clean")) for i in range(3)))
     price = F.coalesce(F.col("price"), parse_price(F.col("price_text")))
     image = squash(F.col("image_url"))
     image = F.when(~image.rlike(r"\A(?:data:|javascript:|#)"), image)
@@ -112,6 +121,9 @@ def aggregate_group(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.min(price).alias("price"),
         F.min_by("currency", "ord").alias("currency"),
         first(F.col("_text2")).alias("seller"),
+        F.bool_or(F.coalesce(*(n["plain"]["name"] for n in found)).isNotNull()).alias("_named"),
+        *(state.alias(name) for name, state in _name_states(found).items()),
+        *(F.bool_or(m).alias(f"_mark{i}") for i, m in enumerate(marks)),
         F.collect_list(texts).alias("_texts"),
         first(F.col("url"), F.struct(~canonical, F.col("ord"))).alias("_url"),
         first(image).alias("image_url"),
@@ -120,23 +132,22 @@ def aggregate_group(rows: DataFrame, keys: list[str]) -> DataFrame:
         # Rules of the page are the same on all of its rows: one value instead of many aggregates.
         F.first(F.struct(*CARRIED)).alias("_page"),
     ).select("*", "_page.*").drop("_page")
-    grouped = grouped.withColumn("_texts", F.array_sort(F.filter(F.flatten("_texts"), lambda t: t["t"].isNotNull())))
-    grouped = grouped.withColumn("_best", _best_name(F.col("_texts"))).where(F.col("_best").isNotNull())
+    # Whether a group is named is told without its name, so a query that shows no names gathers none.
+    grouped = grouped.where("_named").withColumn("_best", _best_name())
     name = F.substring(F.col("_best.name"), 1, 160)
-    spoken = F.array_distinct(F.transform("_texts", lambda t: t["t"]))
-    clean = F.array_distinct(F.transform("_texts", lambda t: t["names"]["clean"]))
-    others = F.slice(F.filter(clean, lambda t: t.isNotNull() & (t != name)), 1, 4)
-    staged = grouped.withColumns({"_others": others, "_spoken": F.array_join(spoken, " ")})
-    return staged.withColumns(
+    clean = F.array_distinct(F.transform(F.array_sort(F.filter(F.flatten("_texts"), lambda t: t["clean"].isNotNull())), lambda t: t["clean"]))
+    staged = grouped.withColumn("_others", F.slice(F.filter(clean, lambda t: t != name), 1, 4))
+    made = staged.withColumns(
         {
             "product_name": name,
-            "condition": condition_of(F.col("_spoken"), F.col("default_condition")),
+            "condition": condition_by(F.col("_mark0"), F.col("_mark1"), F.col("_mark2"), F.col("default_condition")),
             "description": F.when(F.size("_others") > 0, F.substring(F.concat(name, F.lit(" / "), F.array_join("_others", " / ")), 1, 500)),
             "confidence": F.col("_confidence") + name_score(name, query_terms(F.col("query"))),
             "product_url": _rewritten(F.col("_url"), F.col("product_identity_params")),
             "price_text": F.lit(None).cast("string"),
         }
-    ).drop("_best", "_texts", "_url", "_confidence", "_others", "_spoken")
+    )
+    return made.drop("_best", "_texts", "_url", "_confidence", "_others", "_named", "_first", "_direct", "_late", "_plain", "_nameless", "_mark0", "_mark1", "_mark2")
 
 
 #: Columns of the page and its source that every fragment carries along.

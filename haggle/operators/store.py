@@ -108,17 +108,22 @@ class ProductStore:
         placed.write.parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
-    def _numbered(self, staged: DataFrame, last: int) -> tuple[DataFrame, int]:
-        """Staged rows with ids behind ``last``, by their files and places; and how many they are."""
+    def _numbered(self, staged: DataFrame, last: int) -> tuple[DataFrame, dict]:
+        """Staged rows with ids behind ``last``, by their files and places; how many they are, and between which
+        microseconds they were collected."""
+        time = F.unix_micros("collected_at") if "collected_at" in staged.columns else F.lit(0)
         placed = staged.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         # A file comes from one task, so files are as few as tasks.
-        sizes = {r["_file"]: r["n"] for r in placed.groupBy("_file").agg(F.count("*").alias("n")).collect()}
+        files = placed.groupBy("_file").agg(F.count("*").alias("n"), F.min(time).alias("low"), F.max(time).alias("high")).collect()
+        sizes = {r["_file"]: r["n"] for r in files}
         shift, total = [], last
         for name in sorted(sizes, key=lambda f: (int(f.split("-")[1]), f)):
             shift.append((name, total))
             total += sizes[name]
         offsets = self.spark.createDataFrame(shift, "_file string, _shift bigint")
-        return placed.join(F.broadcast(offsets), "_file").withColumn("id", F.col("_shift") + F.col("_row") + 1).drop("_file", "_row", "_shift"), total - last
+        return placed.join(F.broadcast(offsets), "_file").withColumn("id", F.col("_shift") + F.col("_row") + 1).drop("_file", "_row", "_shift"), {
+            "rows": total - last, "low": min((r["low"] for r in files), default=None), "high": max((r["high"] for r in files), default=None)
+        }
 
     def _write(self, table: str, rows: DataFrame, folder: str) -> None:
         data = f"{self.path}/{table}/data/{folder}"
@@ -175,10 +180,10 @@ class ProductStore:
         if new_only and not entries:
             chosen = self._stage(keep_first_unless_null(staged, "product_url", order), stage, order)
         before = entries[-1]["before"] + entries[-1]["rows"] if entries else 0
-        numbered, n = self._numbered(chosen, before)
+        numbered, facts = self._numbered(chosen, before)
         folder = f"{len(entries) + 1:010d}-{uuid.uuid4().hex}"
         self._write(table, numbered.select(*columns), folder)
-        entry = {"folder": folder, "batch": batch, "before": before, "rows": n, "buckets": self.buckets}
+        entry = {"folder": folder, "batch": batch, "before": before, "buckets": self.buckets, **facts}
         if ledger.commit(len(entries) + 1, entry):
             return entry
         for part in ("data", "grams"):
@@ -212,16 +217,41 @@ class ProductStore:
     def _newest() -> list[Column]:
         return [F.desc("collected_at"), F.desc("id")]
 
-    def list(self, limit: int = 50, offset: int = 0, platform: str | None = None, data_source: str | None = None) -> DataFrame:
+    def list(self, limit: int = 50, offset: int = 0, platform: str | None = None, data_source: str | None = None, after: tuple | None = None) -> DataFrame:
+        """Products from the newest on.  ``after`` is the (collected_at, id) of the row before a page: such a page reads
+        the commits that can hold it alone, however deep it lies, where ``offset`` reads all rows before it."""
         if not 1 <= limit <= 200 or offset < 0:
             raise ValueError("limit is 1 to 200, offset 0 or more")
-        rows = self.products
+        filtered = bool(platform or data_source)
+        rows = self.products if after is None and (filtered or offset) else self._page(after, None if filtered else limit + offset)
         if platform:
             rows = rows.where(F.col("platform") == platform)
         if data_source:
             rows = rows.where(F.col("data_source") == data_source)
         return rows.orderBy(*self._newest()).offset(offset).limit(limit)
 
+    def _page(self, after: tuple | None, n: int | None) -> DataFrame:
+        """Products behind ``after`` of the commits among which the first ``n`` lie, or all of them."""
+        entries = [e for e in self._ledgers["products"].entries() if e["rows"]]
+        behind = F.lit(True)
+        if after is not None:
+            key = self.spark.createDataFrame([after], "time timestamp, id bigint")
+            at = key.select(F.unix_micros("time")).first()[0]
+            entries = [e for e in entries if e["low"] <= at]
+            micros = F.unix_micros("collected_at")
+            behind = (micros < at) | ((micros == at) & (F.col("id") < after[1]))
+        if n is not None:
+            # The latest commits that lie behind the key as a whole and have enough rows; older ones add none.
+            have, lowest = 0, None
+            for e in sorted((e for e in entries if after is None or e["high"] < at), key=lambda e: -e["low"]):
+                have, lowest = have + e["rows"], e["low"]
+                if have >= n:
+                    entries = [x for x in entries if x["high"] >= lowest]
+                    break
+        folders = [f"{self.path}/products/data/{e['folder']}" for e in entries]
+        rows = self.spark.read.schema(PRODUCTS).parquet(*folders) if folders else self.spark.createDataFrame([], PRODUCTS)
+        return rows.where(behind)
+
     def search(self, query: str, limit: int = 50) -> DataFrame:
         if not query or not 1 <= limit <= 200:
             raise ValueError("a query is needed, and a limit of 1 to 200")

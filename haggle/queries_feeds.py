@@ -198,6 +198,27 @@ def store_sources(spark, sf):
     return store.sources().select("data_source", "product_count", "last_status", "last_error_message")
 
 
+@query(f"WITH {ITEMS_SQL} SELECT n, p_name AS product_name, 1 + (row_number() OVER (ORDER BY n DESC) - 1) // 30 AS page FROM items ORDER BY n DESC LIMIT 90")
+def store_pages(spark, sf):
+    """Three pages of the newest products of a store, each sought behind the last row of the one before."""
+    store, seen, after = ProductStore(spark, shared_folder(spark, "store"), buckets=2), None, None
+    rows = items(spark, sf).select(
+        F.col("p_name").alias("product_name"), F.lit("test").alias("platform"), F.col("n").cast("string").alias("data_source"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 60).alias("collected_at"), "page_id"
+    )
+    last = rows.agg(F.max("page_id")).first()[0] or 0
+    for k in range(4):  # later commits are older but for the last
+        store.add(rows.where(F.floor(F.col("page_id") * 4 / (last + 1)) == (3, 1, 0, 2)[k]))
+    for page in range(1, 4):
+        found = store.list(limit=30, after=after)
+        end = found.agg(F.min(F.struct("collected_at", "id")).alias("e")).first()["e"]
+        found = found.select(F.col("data_source").cast("bigint").alias("n"), "product_name", F.lit(page).cast("bigint").alias("page"))
+        seen = found if seen is None else seen.unionByName(found)
+        if end is None:
+            break
+        after = (end["collected_at"], end["id"])
+    return seen
+
+
 # -- rules -----------------------------------------------------------------------------------------------
 
 
@@ -410,7 +431,7 @@ def collect_sources(spark, sf):
     return _collected(spark, sf)[0].select("data_source", "product_name", "price", "shipping_fee", "seller", "product_url", "image_url")
 
 
-@query("SELECT 'two' AS source_name, '404' AS error_message UNION ALL SELECT 'lost', 'API collector is not registered: y'")
+@query(f"WITH {ITEMS_SQL} SELECT DISTINCT 'two' AS source_name, '404' AS error_message FROM items WHERE page_id = 2 UNION ALL SELECT 'lost', 'API collector is not registered: y'")
 def collect_failures(spark, sf):
     return _collected(spark, sf)[1].select("source_name", "error_message")
 

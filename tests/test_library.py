@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from haggle.engine import Engine
 from haggle.extract import frames
+from haggle.functions import names as N
 from haggle.functions import price as P
 from haggle.functions import text as T
 from haggle.functions import urls as U
@@ -452,3 +453,34 @@ def test_the_latest_run_is_kept_as_state_over_restarts(spark, tmp_path):
         assert run([(9, "a", "failed", 1.0, "late", 4), (4, "b", "success", 1.0, None, 1), (5, "c", "success", 1.0, None, 9)]) == sorted([*first, ("b", 4, "success", None), ("c", 5, "success", None)])
     finally:
         spark.conf.unset(imports.STATE_STORE[0])
+
+
+def test_the_best_name_follows_from_mergeable_states(spark):
+    """Groups with and without fragments that lack a direct name, before and behind the first that has one."""
+    rng = random.Random(3)
+    parts = ["갤럭시 S25", "울트라 256GB", "삼성전자", "New phone", "블랙", "12,345원", "ab", "자급제", "케이스 / 필름 / 충전기"]
+    text = lambda: rng.choice([None, " ", rng.choice(parts), " / ".join(rng.sample(parts, rng.randrange(1, 5)))])
+    rows = [{"product_name": text() if rng.random() < 0.6 else "닫기", "description": text(), "seller": text(), "product_url": f"{PCODE}{rng.randrange(60)}", "confidence": 1.0} for _ in range(500)]
+    want = {}
+    for url in {r["product_url"] for r in rows}:
+        said = [(o, i, t) for o, r in enumerate(rows) if r["product_url"] == url for i, t in enumerate((r["product_name"], r["description"], r["seller"])) if t and t.strip()]
+        told = [(o, i, N.best(" ".join(t.split()), "갤럭시 S25")) for o, i, t in said]
+        told = [x for x in told if x[2][1][2] is not None]
+        first = min((o for o, i, _ in told if i == 0), default=None)
+        best = max(((*(b[2] if i and first is not None and o >= first else b[1])[:1], i == 0, -o, i < 2, *(b[2] if i and first is not None and o >= first else b[1])[1:]) for o, i, b in told), default=None)
+        if best is not None:
+            want[url] = best[-1][:160]
+    source = reduce.with_identity(candidates(spark, rows, query="갤럭시 S25")).withColumn("_group", F.col("identity"))
+    got = reduce.aggregate_group(source, ["request_id", "source", "_group"])
+    assert {r.product_url: r.product_name for r in got.collect()} == want and len(want) > 20
+
+
+def test_a_group_of_very_many_fragments_is_summed_up_where_they_are(spark):
+    one = candidates(spark, [{"product_name": "갤럭시 S25 256GB", "description": "블랙 / 자급제", "product_url": f"{PCODE}1", "price": 1}])
+    rows = reduce.with_identity(one.drop("ord").crossJoin(spark.range(200_000).select(F.col("id").alias("ord"))), True).withColumn("_group", F.col("identity"))
+    named = reduce.aggregate_group(rows, ["request_id", "source", "_group"]).select("product_name", "fragment_count", "condition")
+    assert [tuple(r) for r in named.collect()] == [("갤럭시 S25 256GB", 200_000, "new")]
+    plan = reduce.aggregate_group(rows, ["request_id", "source", "_group"]).select("product_url", "condition", "price")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "collect_list" not in plan
+    shown = reduce.aggregate_group(rows, ["request_id", "source", "_group"]).select("product_name")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in shown and shown.count("partial_collect_list") == 1

@@ -58,8 +58,8 @@ def test_ids_follow_the_files_whatever_the_source_does(spark, tmp_path):
     ids = [r.id for r in store.products.select("id").collect()]
     assert sorted(ids) == list(range(1, 601))
     staged = store._stage(changing.withColumn("product_url", F.lit(None).cast("string")), str(tmp_path / "again"), ["product_name"])
-    numbered, n = store._numbered(staged, 10)
-    assert n == 300 and sorted(map(tuple, numbered.collect())) == sorted(map(tuple, numbered.collect()))
+    numbered, facts = store._numbered(staged, 10)
+    assert facts["rows"] == 300 and sorted(map(tuple, numbered.collect())) == sorted(map(tuple, numbered.collect()))
     assert [r.id for r in numbered.orderBy("product_name").collect()] == list(range(11, 311))
 
 
@@ -100,3 +100,27 @@ def test_the_log_of_runs_is_committed_too(spark, tmp_path):
     with pytest.raises(ValueError):
         store.add(spark.createDataFrame([("", "test", "d")], "product_name string, platform string, data_source string"))
     assert store.products.count() == 0
+
+
+def test_a_deep_page_reads_as_few_files_as_the_first(spark, tmp_path):
+    store = S.ProductStore(spark, str(tmp_path), buckets=1)
+    for k in range(8):
+        when = F.timestamp_micros(F.lit(1_700_000_000_000_000 + (k % 6) * 1_000_000) + (F.col("id") % 4) * 300_000)
+        store.add(spark.range(10).select(F.concat(F.lit(f"p{k}-"), "id").alias("product_name"), F.lit("test" if k % 2 else "group_buy").alias("platform"), F.lit("d").alias("data_source"), when.alias("collected_at")))
+    want = [r.id for r in store.products.orderBy(*store._newest()).collect()]
+    got, key, read = [], None, []
+    while True:
+        page = store.list(limit=7, after=key)
+        rows = page.select("collected_at", "id").collect()
+        if not rows:
+            break
+        read.append(len(page.inputFiles()))
+        got += [r.id for r in rows]
+        key = tuple(rows[-1])
+    assert got == want and len(got) == 80
+    assert max(read) <= 4 and read[0] <= 3
+    every = [(r.collected_at, r.id, r.platform) for r in store.products.orderBy(*store._newest()).collect()]
+    some = [r.id for r in store.list(limit=50, after=every[30][:2], platform="test").collect()]
+    assert some == [i for _, i, p in every[31:] if p == "test"] and some
+    assert [r.id for r in store.list(limit=5, offset=20).collect()] == want[20:25]
+    assert [r.id for r in store.list(limit=5, platform="test").collect()] == [r.id for r in store.products.where("platform = 'test'").orderBy(*store._newest()).limit(5).collect()]
