@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from haggle.functions.price import lenient_number
 from haggle.session import shared_folder
 from haggle.sources.csv_split import csv_rows
+from haggle.sources.json_split import list_elements
 
 # The names under which a field may stand in a file, in order.
 ALIASES = {
@@ -31,17 +32,8 @@ PAGE_FILES = "*.{[hH][tT][mM],[hH][tT][mM][lL]}"
 
 
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON list, or of the first list under items, data, products or rows."""
-    docs = spark.read.text(path, wholetext=True)
-    shaped = docs.select(
-        F.coalesce(
-            *(F.when(F.get_json_object("value", f"$.{k}").startswith("["), F.get_json_object("value", f"$.{k}")) for k in LIST_KEYS),
-            F.when(F.ltrim("value").startswith("["), F.col("value")),
-        ).alias("list")
-    )
-    checked = shaped.select(F.when(F.col("list").isNull(), F.raise_error(F.lit("unsupported JSON import shape"))).otherwise(F.col("list")).alias("list"))
-    parsed = checked.select(F.from_json("list", "array<map<string,string>>").alias("list"))
-    return parsed.select(F.posexplode("list").alias("ord", "fields")).select("fields", F.col("ord").cast("bigint").alias("ord"))
+    """``fields map<string,string>, ord``: rows of a JSON list, or of the first list under items, data, products or rows."""
+    return list_elements(spark, path, LIST_KEYS).select(F.from_json("element", "map<string,string>").alias("fields"), "ord")
 
 
 def fetched(spark: SparkSession, address: str) -> str:
