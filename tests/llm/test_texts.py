@@ -178,7 +178,7 @@ def test_license_words_are_counted_over_all_documents(spark):
 
 
 def test_registered_queries_are_complete():
-    assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(i) for i in range(1, 14)]
 
 
 def test_all_columns_of_contracts(spark):
@@ -189,6 +189,9 @@ def test_all_columns_of_contracts(spark):
         "op8_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
         "op9_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
         "op10_token_count": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+        "op11_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+        "op12_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+        "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
     }
     for name, want in shape.items():
         df = QUERIES[name](spark, SF)
