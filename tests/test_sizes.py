@@ -34,3 +34,8 @@ def test_references_cut_off_before_their_end_are_text(spark, tmp_path, name):
         con.execute("INSERT INTO pages VALUES (?, 'https://x.example/', ?)", [i, html])
     con.execute(f"COPY pages TO '{linked(tmp_path, 'pages')}/pages.parquet'")
     same(spark, con, str(tmp_path), name)
+
+
+def test_items_are_dealt_out_before_they_are_parsed(spark):
+    """A table of parts is one small file; its pages are parsed on every core."""
+    assert queries.QUERIES["extractor_order"](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
