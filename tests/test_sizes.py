@@ -39,3 +39,15 @@ def test_references_cut_off_before_their_end_are_text(spark, tmp_path, name):
 def test_items_are_dealt_out_before_they_are_parsed(spark):
     """A table of parts is one small file; its pages are parsed on every core."""
     assert queries.QUERIES["extractor_order"](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_task_holds_the_rows_of_few_pages_together():
+    """Pages of a batch are given on in parts: what is found in them is much larger than they are."""
+    import pyarrow as pa
+
+    from haggle.extract import frames
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000))})
+    parts = list(frames.in_parts(iter([batch, batch.slice(0, 0), batch])))
+    assert max(p.num_rows for p in parts) <= 128
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch, batch])
