@@ -11,6 +11,7 @@ from haggle.extract.frames import list_products
 from haggle.functions.urls import identity_key, tidy_url
 from haggle.operators.reduce import keep_first
 from haggle.operators.summary import missing_counts
+from haggle.session import shared_folder
 from haggle.sources.config import SiteConfig, configs_frame, configured_pages
 from haggle.sources.registry import page_urls
 
@@ -114,21 +115,24 @@ def row_identity(source_file: Column | None = None) -> Column:
 def collect_paged(pages: DataFrame, source: SiteConfig, query: str, per_page: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Products of a search's pages, each product once; a row for each page; a row for the run.
 
-    ``pages``: page, url, html (and robots_txt, fetch_error).  A failed page gives no products."""
+    ``pages``: page, url, html (and robots_txt, fetch_error).  A failed page gives no products.  Pages are parsed once,
+    into the shared folder; a product that stands on many pages is sent on once by each task."""
     spark = pages.sparkSession
     table = configs_frame(spark, [source]).select("selectors", "attributes", "default_seller")
     gated = gate(pages).crossJoin(F.broadcast(table))  # one row: the source's configuration
     parsed = list_products(gated.withColumn("html", F.when(F.col("page_error").isNull(), F.col("html")).otherwise("")), per_page)
-    parsed = parsed.withColumn("error_message", F.coalesce("page_error", "parse_error"))
+    folder = shared_folder(spark, "paged")
+    parsed.select("page", "url", F.coalesce("page_error", "parse_error").alias("error_message"), "products").write.parquet(folder)
+    parsed = spark.read.parquet(folder)
     rows = _products(parsed.where("error_message is null"), ["page", "url"]).withColumn("dedupe_key", row_identity())
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("dedupe_key").orderBy("page", "card_ord")))
-    products = ranked.where("_rank = 1").select(
+    products = keep_first(rows, ["dedupe_key"], ["page", "card_ord"]).select(
         "product_name", "price", "shipping_fee", "seller", "product_url", "image_url", F.col("url").alias("source_url"), F.lit(query).alias("source_query"),
         F.col("page").alias("source_page"), F.lit(source.name).alias("source_name"), F.lit(f"auto_html:{source.name}").alias("data_source"),
         tidy_url(F.col("product_url")).alias("normalized_product_url"), "dedupe_key", "card_ord",
     )
-    counted = ranked.groupBy("page").agg(F.count("*").alias("extracted"), F.count_if(F.col("_rank") == 1).alias("added"))
-    by_page = parsed.select("page", "url", "error_message").join(counted, "page", "left").select(
+    extracted = F.when(F.col("error_message").isNull(), F.greatest(F.size("products"), F.lit(0))).alias("extracted")
+    added = products.groupBy(F.col("source_page").alias("page")).agg(F.count("*").alias("added"))
+    by_page = parsed.select("page", "url", "error_message", extracted).join(added, "page", "left").select(
         "page", "url", F.when(F.col("error_message").isNull(), "success").otherwise("failed").alias("status"),
         F.coalesce("extracted", F.lit(0)).cast("bigint").alias("extracted_count"), F.coalesce("added", F.lit(0)).cast("bigint").alias("unique_added_count"),
         (F.coalesce("extracted", F.lit(0)) - F.coalesce("added", F.lit(0))).cast("bigint").alias("duplicate_count"), "error_message",

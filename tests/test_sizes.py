@@ -51,3 +51,21 @@ def test_a_task_holds_the_rows_of_few_pages_together():
     parts = list(frames.in_parts(iter([batch, batch.slice(0, 0), batch])))
     assert max(p.num_rows for p in parts) <= 128
     assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch, batch])
+
+
+def test_pages_of_a_search_are_parsed_once_and_in_many_tasks(spark, monkeypatch):
+    from haggle.plans import collect
+
+    seen = []
+
+    def listed(pages, limit):
+        made = list_products(pages, limit)
+        seen.append(made.rdd.getNumPartitions())
+        return made
+
+    list_products = collect.list_products
+    monkeypatch.setattr(collect, "list_products", listed)
+    by_page = queries.QUERIES["paged_pages"](spark, SF)
+    assert seen == [max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))]
+    plan = by_page._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and plan.count("WindowGroupLimit") > 0
