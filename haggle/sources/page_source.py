@@ -26,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from haggle.sources.fetch import FETCHED, Getter, fetched_row, host_of
 
 LANES = 4096
+#: Further lanes, for addresses that have no host.
+HOSTLESS = 64
 SCHEMA = f"url string, {FETCHED}"
 BATCH = re.compile(r"batch-([0-9]{10})")
 #: Pages handed to Spark together.
@@ -44,11 +46,16 @@ class AddressLog:
         Each address of a batch is fetched once; null and blank ones go.  A batch counts once it is whole."""
         rendered = F.coalesce(F.col("rendered"), F.lit(False)) if "rendered" in addresses.columns else F.lit(False)
         rows = addresses.select(F.trim("url").alias("url"), rendered.alias("rendered")).where("url <> ''").groupBy("url").agg(F.max("rendered").alias("rendered"))
-        rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("lane", F.pmod(F.xxhash64("host"), F.lit(self.lanes)))
+        rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("lane", self._lane())
         number = max(finished(self.path), default=0) + 1
         rows.repartition("lane").sortWithinPartitions("lane", "host", "url").write.mode("overwrite").partitionBy("lane").parquet(f"{self.path}/batch-{number:010d}")
         return number
 
+    def _lane(self):
+        # An address without a host, as that of a file, has no host to be asked one at a time.
+        alone = F.coalesce(F.col("host"), F.lit("")) == ""
+        return F.when(alone, self.lanes + F.pmod(F.xxhash64("url"), F.lit(HOSTLESS))).otherwise(F.pmod(F.xxhash64("host"), F.lit(self.lanes)))
+
 
 def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
     from pyarrow import fs

@@ -85,3 +85,13 @@ def test_json_files_hold_many_rows(spark, monkeypatch, tmp_path, name):
     same(spark, con, "/root/testdata/sf0.01", name)
     folder = {"fixture_search": "fixture", "import_files": "import/parts.json", "saved_import": "saved/in.json"}[name]
     assert len(glob.glob(f"{tmp_path}/{folder}/*.txt")) == 2
+
+
+def test_addresses_without_a_host_are_fetched_in_many_lanes(spark, tmp_path):
+    from haggle.sources import page_source
+
+    log = page_source.AddressLog(spark, f"file://{tmp_path}/log")
+    log.append(spark.range(200).selectExpr("concat('file:///x/', id) AS url"))
+    log.append(spark.range(9).selectExpr("concat('http://one.example/', id) AS url"))
+    first, second = (page_source.lanes(log.path, [n]) for n in (1, 2))
+    assert 32 < len(first) <= page_source.HOSTLESS and len(second) == 1
