@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haggle.session import PLACED_BY_TASKS
+
 KEEP_NULLS = {"ignoreNullFields": "false"}
 RESULT = ("product_name", "price", "currency", "source", "seller", "condition", "country", "product_url", "image_url", "description")
 
@@ -52,7 +54,7 @@ def crawl_documents(products: DataFrame, status: DataFrame, counters: DataFrame
 def dump_pages(pages: DataFrame, path: str) -> None:
     """Fetched pages (source, html) as files for debugging: a folder for each source, a file for each page."""
     shown = pages.where("html is not null").select("source", F.col("html").alias("value"))
-    shown.write.mode("overwrite").partitionBy("source").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    shown.write.mode("overwrite").partitionBy("source").options(maxRecordsPerFile=1, lineSep="\n", **PLACED_BY_TASKS).text(path)
 
 
 def file_name(query: str) -> str:
