@@ -484,3 +484,16 @@ def test_a_group_of_very_many_fragments_is_summed_up_where_they_are(spark):
     assert "partial_min" in plan and "collect_list" not in plan
     shown = reduce.aggregate_group(rows, ["request_id", "source", "_group"]).select("product_name")._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in shown and shown.count("partial_collect_list") == 1
+
+
+def test_prices_are_found_without_collapsing_white_space_first(spark):
+    from pyspark.sql import functions as F
+
+    from haggle.functions import price as P
+
+    rows = [("a  12,345 \t 원 b", 12345), ("7\x1c원", 7), ("1　원 2,000", 1), ("가격\t제안 5원", None), ("가격  제안 5원", None), ("제안 가격 5원", 5), ("1,234 x", 1234), (" 12 ", None), ("", None), (None, None)]
+    told = spark.createDataFrame(rows, "t string, want long")
+    assert [r for r in told.withColumn("got", P.parse_price(F.col("t"))).collect() if r.got != r.want] == []
+    assert told.where("t = ' 12 '").select(P.parse_price(F.col("t"), structured=True)).first()[0] == 12
+    # White space is collapsed for texts that may hold a marker of two words, not for every look at a text.
+    assert told.select(P.parse_price(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= 1
