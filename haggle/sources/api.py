@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,17 +45,56 @@ def ebay_products(answers: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
+#: The tags of a product node that are read.
+TAGS = ("ProductName", "ProductPrice", "SalePrice", "Delivery", "ShipFee", "Seller", "ProductDetailUrl", "DetailPageUrl", "ImageUrl", "ProductImage", "BasicImage")
+
+
+def node_texts(xml: str) -> dict[str, str]:
+    """The text of the first child of each name in a node, that of its own children included; not well-formed is an error."""
+    said: dict[str, list[str]] = {}
+    depth, into = 0, None
+
+    def opened(name, _):
+        nonlocal depth, into
+        depth += 1
+        if depth == 2:
+            into = None if name in said else said.setdefault(name, [])
+
+    def closed(_):
+        nonlocal depth, into
+        depth -= 1
+        if depth == 1:
+            into = None
+
+    def text(part):
+        if into is not None:
+            into.append(part)
+
+    parser = expat.ParserCreate()  # without a separator names keep their prefixes, as the node has lost their declarations
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = opened, closed, text
+    parser.Parse(xml, True)
+    return {name: "".join(parts) for name, parts in said.items()}
+
+
+def _tags(node: pa.Array) -> pa.Array:
+    """Each node is parsed once, whatever the number of its tags."""
+    rows = [node_texts(n) if n is not None else {} for n in node.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([r.get(t) for r in rows], pa.string()) for t in TAGS], list(TAGS))
+
+
 def elevenst_products(answers: DataFrame, limit: int = 50) -> DataFrame:
     """Products of XML answers (column ``xml``); an answer with an error node raises it."""
     said = lambda *tags: F.coalesce(*(present(F.trim(F.xpath_string("xml", F.lit(f"//Error/{t}")))) for t in tags))
     message = F.concat(F.lit("API error "), F.coalesce(said("Code", "code"), F.lit("unknown")), F.lit(": "), F.coalesce(said("Message", "message"), F.col("xml")))
     failed = F.xpath_boolean("xml", F.lit("//Error"))
     checked = answers.withColumn("xml", F.when(failed, F.raise_error(message)).otherwise(F.col("xml")))
-    # Paths are constants, so a product's node is cut out as a text before its tags are read.
     parts = checked.select(F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<Product(?:\s[^>]*)?>(.*?)</Product>"), F.lit(1))).alias("ord", "node"))
-    parts = parts.withColumn("node", F.concat(F.lit("<Product>"), "node", F.lit("</Product>")))
-    tag = lambda *names: F.coalesce(*(present(F.trim(F.xpath_string("node", F.lit(f"/Product/{n}")))) for n in names))
-    return _numbered(parts, limit).select(
+    node = F.concat(F.lit("<Product>"), "node", F.lit("</Product>"))
+    tags = F.arrow_udf(_tags, "struct<" + ", ".join(f"{t} string" for t in TAGS) + ">")
+    parts = _numbered(parts, limit).withColumn("said", tags(node))
+    tag = lambda *names: F.coalesce(*(present(F.trim(F.col("said")[n])) for n in names))
+    return parts.select(
         "ord",
         F.coalesce(tag("ProductName"), F.lit("Untitled 11st product")).alias("product_name"),
         lenient_number(tag("ProductPrice", "SalePrice")).alias("price"),

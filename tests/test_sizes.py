@@ -95,3 +95,21 @@ def test_addresses_without_a_host_are_fetched_in_many_lanes(spark, tmp_path):
     log.append(spark.range(9).selectExpr("concat('http://one.example/', id) AS url"))
     first, second = (page_source.lanes(log.path, [n]) for n in (1, 2))
     assert 32 < len(first) <= page_source.HOSTLESS and len(second) == 1
+
+
+def test_an_xml_node_is_parsed_once(spark):
+    """Not once for each of its tags: a node's texts come from one pass and are those that XPath gives."""
+    from pyspark.sql import functions as F
+
+    from haggle.sources import api
+
+    plan = queries.QUERIES["elevenst_feed"](spark, SF)._jdf.queryExecution().toString()
+    assert "xpath_string(node" not in plan.lower() and "/Product/" not in plan
+    nodes = [
+        "<ProductName> a &amp; b &#x41; <![CDATA[<c>]]> <!-- no --> <i>in<j>ner</j></i>\r\nz</ProductName><Seller/><Seller>second</Seller>",
+        "<n:X>p</n:X><SalePrice>\t5 </SalePrice><x><Seller>deep</Seller></x>", "<ProductName>상품  </ProductName>t<Delivery></Delivery>u", "", "<ImageUrl>a<b/>c<b/>d</ImageUrl>",
+    ]
+    made = spark.createDataFrame([(f"<Product>{n}</Product>",) for n in nodes], "node string")
+    for row in made.select("node", *(F.xpath_string("node", F.lit(f"/Product/{t}")).alias(t) for t in api.TAGS)).collect():
+        said = api.node_texts(row["node"])
+        assert [said.get(t, "") for t in api.TAGS] == [row[t] for t in api.TAGS]
