@@ -113,3 +113,76 @@ def test_an_xml_node_is_parsed_once(spark):
     for row in made.select("node", *(F.xpath_string("node", F.lit(f"/Product/{t}")).alias(t) for t in api.TAGS)).collect():
         said = api.node_texts(row["node"])
         assert [said.get(t, "") for t in api.TAGS] == [row[t] for t in api.TAGS]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def whole_plans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+@pytest.mark.parametrize("name", ["aggregate_identity", "aggregate_best_name", "eligible_products", "crawl_topk"])
+def test_texts_are_searched_before_the_reduction(spark, whole_plans, name):
+    """An aggregate works out its inputs several times: it is given columns, and no pattern."""
+    reductions = [line for line in plan_of(queries.QUERIES[name](spark, SF)).splitlines() if "Aggregate(" in line and "partial_min" in line]
+    assert reductions and not any(p in line for line in reductions for p in ("RLIKE", "regexp", "forall", "Contains("))
+
+
+def test_texts_without_odd_white_space_are_as_the_pattern_makes_them(spark):
+    from pyspark.sql import functions as F
+
+    from haggle.functions import text as T
+    from haggle.functions import urls as U
+
+    texts = ["a b", " a", "a  b ", "\ta", "a　b", "a b", "상품 / 이름", "상품 이름", "x\x1cy", "", "  ", None, "\U0001f600 z", "a\nb", "é e", "미개봉 REFURBISHED", "Renewed", "S등급", "리퍼", "RENEWEK"]
+    made = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.nullif(F.trim(F.regexp_replace("t", T.WS + "+", " ")), F.lit(""))
+    marks = [F.col("t").rlike(p) for p in ("중고|S등급|A등급|최상급", "(?i)리퍼|refurbished|renewed", "새상품|미개봉|신품|자급제")]
+    for row in made.select(T.squash(F.col("t")).alias("a"), plain.alias("b"), F.array(*T.condition_marks(F.col("t"))).alias("c"), F.array(*marks).alias("d")).collect():
+        assert row["a"] == row["b"] and row["c"] == row["d"]
+    urls = ["http://h", "http://h/", "http://h//", "http:///", "http:////a/", "http://h/a/b//", "http://h/a;p", "http://h;/a/", "http://h/a;p/b/", "http://h?x=1", "http://h/a/?id=3&b", "http://h/a#id=3", "1http://h/", "h/a/", "", None, "http://h/a&id=7/", "HTTP://h/é/\n/"]
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    url, ids = F.col("u"), F.array(F.lit("id"))
+    path = F.rtrim(F.regexp_replace(U.part(url, 3), ";[^/]*$", ""), F.lit("/"))
+    address = F.when(url.rlike(U.PARTS), F.concat(U.part(url, 1), F.lit("://"), U.part(url, 2), path)).otherwise(url)
+    long = F.coalesce(F.concat(F.lit("s:id:"), F.nullif(F.regexp_extract(url, "[?&]id=([^&#]+)", 1), F.lit(""))), F.concat(F.lit("s:url:"), address))
+    assert [tuple(r) for r in frame.select(U.identity(url, F.lit("s"), ids), long).collect() if r[0] != r[1]] == []
+
+
+def test_fragments_joined_by_part_are_numbered_where_they_are(spark, whole_plans):
+    from haggle.plans import views
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(views.fragments(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(dealt) == 2 and all("_partkey" in line for line in dealt)
+
+
+@pytest.mark.parametrize("name", ["dedupe_products_by_price", "dedupe_first_seen"])
+def test_rows_are_described_after_most_of_them_are_gone(spark, whole_plans, name):
+    """What follows from other columns is neither sorted nor sent: platform, fee, and each value once."""
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    last = plan.index("Exchange hashpartitioning(" + ("source" if name == "dedupe_products_by_price" else "product_url"))
+    assert "group_buy" in plan[:last] and "group_buy" not in plan[last:] and "100000" not in plan[last:]
+    if name == "dedupe_products_by_price":
+        assert "_link" not in plan
+
+
+def test_rows_without_a_link_keep_how_it_was_said(spark):
+    from haggle.plans.crawl import dedupe_products
+
+    rows = [("", "A", 1), (None, "a", 2), (None, "B", 3), ("", "b", 4), ("-", "C", 5), ("-", "D", 6), ("a", "E", 7)]
+    made = spark.createDataFrame([("r", "s", u, n, 5, 0, 0.0, o) for u, n, o in rows], "request_id string, source string, product_url string, product_name string, price int, source_ord int, confidence double, ord int")
+    got = {r["ord"]: r["product_url"] for r in dedupe_products(made).collect()}
+    assert got == {1: "", 3: None, 5: "-"}
