@@ -5,6 +5,9 @@ bounds; a saved-page result is one file, written line by line.  Everything else
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,35 @@ def crawl_documents(products: DataFrame, status: DataFrame, counters: DataFrame
     return whole.select("request_id", F.to_json(F.struct(*names), KEEP_NULLS).alias("value"))
 
 
+def write_files(texts: DataFrame, folder: str) -> None:
+    """Texts (name, value) as files in a folder, one for each, made by the tasks that hold the rows.
+
+    A name is a path beneath the folder, and no two rows have the same.  Spark's writers name folders only, and for each
+    file and folder Hadoop's local file system starts processes that set permissions; these cost more than the file.
+    A file is put in place when it is whole, so a task that is tried again leaves the same files."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+    def put(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        made = set()
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                above, _, last = f"{root}/{name}".rpartition("/")
+                if above not in made:
+                    store.create_dir(above)
+                    made.add(above)
+                unfinished = f"{above}/.{last}.{uuid.uuid4().hex}"
+                with store.open_output_stream(unfinished, compression=None) as out:
+                    out.write(value.as_buffer())
+                store.move(unfinished, f"{above}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    made = texts.select("name", F.col("value").cast("binary").alias("value")).mapInArrow(put, "files bigint")
+    made.write.format("noop").mode("overwrite").save()
+
+
 def dump_pages(pages: DataFrame, path: str) -> None:
     """Fetched pages (source, html) as files for debugging: a folder for each source, a file for each page."""
     shown = pages.where("html is not null").select("source", F.col("html").alias("value"))

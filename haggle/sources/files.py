@@ -29,6 +29,9 @@ ALIASES = {
 LIST_KEYS = ("items", "data", "products", "rows")
 NUMBERS = ("price", "original_price", "shipping_fee")
 PAGE_FILES = "*.{[hH][tT][mM],[hH][tT][mM][lL]}"
+#: A scan puts few small files into a partition, since opening one counts as some MB.  From this many partitions for each
+#: core on, one task reads up to so many of them.
+PARTS_OF_CORE, PARTS_OF_TASK = 32, 64
 
 
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +94,7 @@ def html_pages(spark: SparkSession, *paths: str) -> DataFrame:
 
     A missing path is an error; a file of another kind is passed over."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PAGE_FILES).load(list(paths))
-    # The scan lists all files on the driver anyway; contents are read once, and no page is shuffled.
-    listed = sorted(r[0] for r in found.select("path").distinct().collect())
-    pages = spark.read.format("binaryFile").load(listed) if listed else found.limit(0)
-    return pages.select("path", F.decode("content", "UTF-8").alias("html"))
+    # One listing: files of folders that overlap are one set to Spark when it looks into folders.
+    pages = found.select("path", F.decode("content", "UTF-8").alias("html"))
+    parts, least = found.rdd.getNumPartitions(), PARTS_OF_CORE * spark.sparkContext.defaultParallelism
+    return pages.coalesce(max(least, parts // PARTS_OF_TASK)) if parts > least else pages

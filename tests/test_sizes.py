@@ -186,3 +186,48 @@ def test_rows_without_a_link_keep_how_it_was_said(spark):
     made = spark.createDataFrame([("r", "s", u, n, 5, 0, 0.0, o) for u, n, o in rows], "request_id string, source string, product_url string, product_name string, price int, source_ord int, confidence double, ord int")
     got = {r["ord"]: r["product_url"] for r in dedupe_products(made).collect()}
     assert got == {1: "", 3: None, 5: "-"}
+
+
+def test_pages_are_files_that_tasks_put_in_place(spark, monkeypatch, tmp_path):
+    """One file for a page and nothing beside it: no folder, no checksum, no second listing by name."""
+    from haggle import queries_results
+
+    monkeypatch.setattr(queries_results, "shared_folder", lambda spark, kind: f"file://{tmp_path}/{kind}")
+    rows = [(i, "https://x.example/", h) for i, h in ((0, "a\nb"), (1, ""), (2, "c\r\n"), (3, '"상품"\x01\x02'), (4, None), (2999, "d" * 5000), (3000, " e "), (-1, "f"), (-3001, "g\n"))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    (tmp_path / "in").mkdir()
+    con.execute(f"COPY pages TO '{tmp_path}/in/pages.parquet'")
+    same(spark, con, str(tmp_path / "in"), "page_files")
+    files = sorted(str(p.relative_to(tmp_path / "saved")) for p in (tmp_path / "saved").rglob("*") if p.is_file())
+    assert files == sorted(["htm0/0/0.htm", "htm1/0/1.HTM", "txt/0/2.txt", "htm0/0/3.htm", "htm1/0/4.HTM", "txt/2/2999.txt", "htm0/3/3000.htm", "htm0/-1/-1.htm", "htm0/-4/-3001.htm"])
+    assert (tmp_path / "saved/htm0/0/3.htm").read_bytes() == '"상품"\x01\x02\n'.encode()
+
+
+def test_saved_pages_are_listed_once_and_read_by_few_tasks(spark, tmp_path):
+    from haggle.sources import files
+
+    names = [f"{i % 7}/[{i}] %20.{e}" for i, e in enumerate(["htm", "HTML"] * 150)] + ["0/a.txt", "1/_b.htm"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(n)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # less than opening a file counts
+    try:
+        pages = files.html_pages(spark, str(tmp_path), f"{tmp_path}/3", f"file://{tmp_path}/4/../4")
+        assert pages.rdd.getNumPartitions() == files.PARTS_OF_CORE * spark.sparkContext.defaultParallelism < 300
+        assert sorted(r["html"] for r in pages.collect()) == sorted(names[:300])
+        assert "InMemoryFileIndex(3 paths)" in plan_of(pages)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_files_are_replaced_whole_and_as_they_are(spark, tmp_path):
+    from haggle.plans import outputs
+
+    made = spark.createDataFrame([("x/a.gz", "1"), ("x/y/b", "둘\r\n"), ("c", "")], "name string, value string")
+    for _ in range(2):
+        outputs.write_files(made, f"file://{tmp_path}/out")
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"x/a.gz": "1", "x/y/b": "둘\r\n", "c": ""}
