@@ -231,3 +231,16 @@ def test_files_are_replaced_whole_and_as_they_are(spark, tmp_path):
         outputs.write_files(made, f"file://{tmp_path}/out")
     found = {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*") if p.is_file()}
     assert found == {"x/a.gz": "1", "x/y/b": "둘\r\n", "c": ""}
+
+
+def test_served_pages_are_files_that_tasks_put_in_place(spark, monkeypatch, tmp_path):
+    from haggle import queries_feeds
+
+    monkeypatch.setattr(queries_feeds, "shared_folder", lambda spark, kind: f"file://{tmp_path}/{kind}")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT i AS page_id, 'https://x.example/' AS url, '<title> t' || i || '</title>' || repeat('é' || chr(10), i + 1) AS html FROM (SELECT unnest([0, 1, 2, 1999, 2000]) AS i)")
+    (tmp_path / "in").mkdir()
+    con.execute(f"COPY pages TO '{tmp_path}/in/pages.parquet'")
+    same(spark, con, str(tmp_path / "in"), "page_table")
+    files = sorted(str(p.relative_to(tmp_path / "served/pages")) for p in (tmp_path / "served/pages").rglob("*") if p.is_file())
+    assert files == ["0/0.txt", "0/1.txt", "0/2.txt", "1/1999.txt", "2/2000.txt"]
