@@ -57,8 +57,8 @@ def crawl_documents(products: DataFrame, status: DataFrame, counters: DataFrame
 def write_files(texts: DataFrame, folder: str) -> None:
     """Texts (name, value) as files in a folder, one for each, made by the tasks that hold the rows.
 
-    A name is a path beneath the folder, and no two rows have the same.  Spark's writers name folders only, and for each
-    file and folder Hadoop's local file system starts processes that set permissions; these cost more than the file.
+    A name is a path beneath the folder, and no two rows have the same.  Spark's writers name folders only, and on a
+    local disk Hadoop starts four processes for each file they write; these cost more than the file.
     A file is put in place when it is whole, so a task that is tried again leaves the same files."""
     texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
